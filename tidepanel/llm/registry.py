@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from tidepanel.llm import mixing
+from tidepanel.llm import mixing, pieces, secret_scan
 
-QUERIES = {"op8_mixing": mixing.op8_mixing}
+QUERIES = {
+    "op4_sentencepiece": pieces.op4_sentencepiece,
+    "op8_mixing": mixing.op8_mixing,
+    "op9_secret_scan": secret_scan.op9_secret_scan,
+}
 ORACLES = {"op8_mixing": mixing.OP8_SQL}
