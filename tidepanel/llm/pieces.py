@@ -43,39 +43,41 @@ class Pieces:
         lib, n = self.library, self.library.get_piece_size()
         self.pieces = [lib.id_to_piece(i) for i in range(n)]
         normal = [i for i in range(n) if not (lib.is_control(i) or lib.is_unknown(i) or lib.is_unused(i) or lib.is_byte(i))]
-        self.rank = {self.pieces[i]: (-lib.get_score(i), i) for i in normal}
+        self.id = {self.pieces[i]: i for i in normal}
+        self.rank = {self.pieces[i]: -lib.get_score(i) for i in normal}
         self.bytes = {int(m[1], 16): i for i in range(n) if lib.is_byte(i) and (m := BYTE.match(self.pieces[i]))}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.unknown = lib.unk_id()
         self.whole = any(MARK in p.lstrip(MARK) for p in self.rank)
-        self.known: dict[str, tuple[str, str]] = {}
-        self.older: dict[str, tuple[str, str]] = {}
+        self.known: dict[str, str] = {}
+        self.older: dict[str, str] = {}
+        self.respelled: set[str] = set()  # segments that don't decode to themselves (unknown symbols)
 
     def merge(self, segment: str) -> list[int]:
         """Ids of one segment by the agenda."""
         symbols: list[str] = list(segment)
         n, rank = len(symbols), self.rank
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda = [(rank[pair][0], i, pair) for i in range(n - 1) if (pair := symbols[i] + symbols[i + 1]) in rank]
+        agenda = [(rank[pair], i, pair) for i in range(n - 1) if (pair := symbols[i] + symbols[i + 1]) in rank]
         heapq.heapify(agenda)
         while agenda:
             _, left, pair = heapq.heappop(agenda)
             right = after[left]
-            if not symbols[left] or right >= n or len(symbols[left]) + len(symbols[right]) != len(pair) or symbols[left] + symbols[right] != pair:
+            if right >= n or symbols[left] + symbols[right] != pair or not symbols[left]:
                 continue  # one of them has merged meanwhile
             symbols[left], symbols[right] = pair, ""
             after[left] = nxt = after[right]
             if nxt < n:
                 before[nxt] = left
                 if (new := pair + symbols[nxt]) in rank:
-                    heapq.heappush(agenda, (rank[new][0], left, new))
+                    heapq.heappush(agenda, (rank[new], left, new))
             if (prev := before[left]) >= 0 and (new := symbols[prev] + pair) in rank:
-                heapq.heappush(agenda, (rank[new][0], prev, new))
+                heapq.heappush(agenda, (rank[new], prev, new))
         ids: list[int] = []
         for s in symbols:
             if s:
-                if (found := rank.get(s)) is not None:
-                    ids.append(found[1])
+                if (found := self.id.get(s)) is not None:
+                    ids.append(found)
                 elif self.bytes:
                     ids += [self.bytes[b] for b in s.encode()]
                 elif not ids or ids[-1] != self.unknown:
@@ -112,16 +114,18 @@ class Pieces:
             ids = self.merge(s)
             if ids != theirs and s != MARK:  # alone, a mark is the library's empty text
                 raise ValueError(f"the agenda and the sentencepiece library differ on {s!r}: {ids} and {theirs}")
-            spelled = self.spelled(ids)
-            self.known[s] = (",".join(map(str, ids)), s if spelled == s else spelled)
+            if self.spelled(ids) != s:
+                self.respelled.add(s)
+            self.known[s] = ",".join(map(str, ids))
 
     def encode(self, text: str) -> tuple[str, str]:
-        """Ids joined by commas, and the text that they decode to."""
+        """Ids joined by commas, and the text that they decode to (each segment's ids were decoded when it was learnt)."""
         segments = self.segments(text)
         self.learn(dict.fromkeys(segments))
-        found = [self.known[s] for s in segments]
-        decoded = "".join([f[1] for f in found])
-        return ",".join([f[0] for f in found]), decoded.removeprefix(MARK).replace(MARK, " ")
+        ids = ",".join([self.known[s] for s in segments])
+        if not self.respelled.isdisjoint(segments):
+            return ids, self.decode(list(map(int, ids.split(","))))
+        return ids, "".join(segments).removeprefix(MARK).replace(MARK, " ")
 
     def decode(self, ids: list[int]) -> str:
         return self.spelled(ids).removeprefix(MARK).replace(MARK, " ")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidepanel.llm import mixing, pieces, secret_scan
+from tidepanel.llm import mixing, pieces, secret_scan, token_tables
 
 QUERIES = {
     "op4_sentencepiece": pieces.op4_sentencepiece,
+    "op5_token_tables": token_tables.op5_token_tables,
     "op8_mixing": mixing.op8_mixing,
     "op9_secret_scan": secret_scan.op9_secret_scan,
 }
