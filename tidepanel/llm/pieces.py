@@ -4,10 +4,10 @@ A segment's characters are symbols; every adjacent pair whose concatenation is a
 score, ties by place from the left. The best pair is merged, its new neighbours join the agenda, until the agenda
 is empty. Symbols that are no piece fall back to bytes.
 
-Texts are cut before a space mark that follows another character: no piece of the vocabulary reaches over such a
-place (checked when the model is loaded; a vocabulary with such a piece is encoded text by text), so segments are independent
-and each distinct one is encoded once a worker while it is remembered. Every newly met segment of an Arrow batch
-is also encoded by the sentencepiece library, and a difference stops the job.
+Texts are cut where no piece of the vocabulary reaches over (``SEGMENTS``, checked against every piece when the model
+is loaded; else texts stay whole), so segments are independent and each distinct one is encoded once a worker
+while it is remembered. New segments of an Arrow batch have their agendas popped side by side, and are also encoded by
+the sentencepiece library, as is a whole text now and then; a difference stops the job.
 
 Defined cases: null text is empty, an empty text has no ids; texts of any length are taken whole; rows that repeat
 give the same ids; an empty table gives no rows; other columns pass through.
@@ -20,6 +20,7 @@ import heapq
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,9 +29,17 @@ from tidepanel.llm import common
 
 MARK = "▁"
 #: Segments a worker remembers in each of two generations; those met again move to the younger one.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 BYTE = re.compile(r"<0x([0-9A-F]{2})>$")
-SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: Ways to cut a text, finest first; a vocabulary takes the first that cuts none of its pieces.
+SEGMENTS = [
+    re.compile(rf"{MARK}*[^\W\d_²]+|{MARK}*(?:[^{MARK}\w]|[_²])+|{MARK}*\d|{MARK}+"),
+    re.compile(f"{MARK}*[^{MARK}]+|{MARK}+"),
+]
+#: A rank after all others; symbols from which on a segment gets an agenda of its own; segments merged at once.
+LATE, LONG, TOGETHER = 1 << 40, 64, 10_000
+#: Texts whose new segments are learnt together; every so many texts of a batch one is held whole against the library.
+CHUNK, WHOLE_EVERY = 200, 500
 
 
 class Pieces:
@@ -44,17 +53,25 @@ class Pieces:
         self.pieces = [lib.id_to_piece(i) for i in range(n)]
         normal = [i for i in range(n) if not (lib.is_control(i) or lib.is_unknown(i) or lib.is_unused(i) or lib.is_byte(i))]
         self.id = {self.pieces[i]: i for i in normal}
-        self.rank = {self.pieces[i]: -lib.get_score(i) for i in normal}
+        places = {x: k for k, x in enumerate(sorted({-lib.get_score(i) for i in normal}))}
+        self.rank = {self.pieces[i]: places[-lib.get_score(i)] for i in normal}
         self.bytes = {int(m[1], 16): i for i in range(n) if lib.is_byte(i) and (m := BYTE.match(self.pieces[i]))}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.unknown = lib.unk_id()
-        self.whole = any(MARK in p.lstrip(MARK) for p in self.rank)
+        self.names = list(map(str, range(n)))
+        self.segment = next((r for r in SEGMENTS if all(r.fullmatch(p) and len(r.findall(p)) == 1 for p in self.id)), None)
+        self.char = np.full(0x110000, -1, np.int32)
+        for p, i in self.id.items():
+            if len(p) == 1:
+                self.char[ord(p)] = i
+        splits = sorted((self.id[a] << 32 | self.id[b], self.rank[p], i) for p, i in self.id.items() for k in range(1, len(p)) if (a := p[:k]) in self.id and (b := p[k:]) in self.id)
+        self.pair, self.pair_rank, self.pair_id = (np.array(x, np.int64) for x in zip(*splits, strict=True))
         self.known: dict[str, str] = {}
         self.older: dict[str, str] = {}
         self.respelled: set[str] = set()  # segments that don't decode to themselves (unknown symbols)
 
     def merge(self, segment: str) -> list[int]:
-        """Ids of one segment by the agenda."""
+        """Ids of one segment by an agenda of its own."""
         symbols: list[str] = list(segment)
         n, rank = len(symbols), self.rank
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
@@ -84,11 +101,77 @@ class Pieces:
                     ids.append(self.unknown)
         return ids
 
+    def _agenda(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and id of the piece that each pair makes; LATE where it makes none."""
+        key = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        hit = (self.pair[at] == key) & (left >= 0) & (right >= 0)
+        return np.where(hit, self.pair_rank[at], LATE), self.pair_id[at]
+
+    def merge_all(self, segments: list[str]) -> list[list[int]]:
+        """Ids of many segments. All agendas are popped at once: every round merges each segment's best pair."""
+        out: list[list[int]] = [[]] * len(segments)
+        short = []
+        for k, s in enumerate(segments):
+            if len(s) > LONG:
+                out[k] = self.merge(s)
+            else:
+                short.append(k)
+        for low in range(0, len(short), TOGETHER):
+            which = np.array(short[low : low + TOGETHER], np.int64)
+            own = [segments[k] for k in which]
+            sizes = np.array(list(map(len, own)), np.int64)
+            sym = self.char[np.frombuffer("".join(own).encode("utf-32-le"), "<u4")].astype(np.int64)
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            if (sym < 0).any():  # characters outside the vocabulary fall back to bytes
+                odd = np.minimum.reduceat(sym, starts) < 0
+                for k in which[odd]:
+                    out[k] = self.merge(segments[k])
+                keep = ~odd
+                sym, which, sizes = sym[np.repeat(keep, sizes)], which[keep], sizes[keep]
+                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            if not len(which):
+                continue
+            last = np.zeros(len(sym), bool)
+            last[starts + sizes - 1] = True
+            rank, made = self._agenda(sym, np.append(sym[1:], -1))
+            rank[last] = LATE
+            while len(which):
+                best = np.minimum.reduceat(rank << 20 | np.arange(len(sym)), starts)
+                done = best >> 20 >= LATE
+                if done.any():
+                    flat, ends = sym.tolist(), (starts + sizes).tolist()
+                    for j in np.flatnonzero(done).tolist():
+                        out[which[j]] = flat[starts[j] : ends[j]]
+                    keep = np.repeat(~done, sizes)
+                    shift = np.cumsum(~keep)
+                    at = best[~done] & (1 << 20) - 1
+                    at = at - shift[at]
+                    sym, rank, made, last = sym[keep], rank[keep], made[keep], last[keep]
+                    which, sizes = which[~done], sizes[~done]
+                else:
+                    at = best & (1 << 20) - 1
+                if not len(which):
+                    break
+                sym[at] = made[at]
+                keep = np.ones(len(sym), bool)
+                keep[at + 1] = False
+                last[at] = last[at + 1]
+                at = at - np.arange(len(at))  # one symbol has gone from each segment before
+                sym, rank, made, last = sym[keep], rank[keep], made[keep], last[keep]
+                sizes = sizes - 1
+                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                touched = np.concatenate([at, at[at > starts] - 1])
+                after = np.minimum(touched + 1, len(sym) - 1)
+                rank[touched], made[touched] = self._agenda(sym[touched], sym[after])
+                rank[last] = LATE
+        return out
+
     def segments(self, text: str) -> list[str]:
         if not text:
             return []
         marked = MARK + text.replace(" ", MARK)
-        return [marked] if self.whole else SEGMENT.findall(marked)
+        return [marked] if self.segment is None else self.segment.findall(marked)
 
     def spelled(self, ids: list[int]) -> str:
         """What ids stand for, space marks kept; runs of bytes are UTF-8."""
@@ -103,30 +186,50 @@ class Pieces:
             parts.append(" ⁇ " if i == self.unknown else self.pieces[i])
         return "".join([*parts, run.decode("utf-8", "replace")])
 
-    def learn(self, segments) -> None:
+    def learn(self, segments: set[str]) -> None:
         """Encode the segments not yet remembered, and hold them against the library."""
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
-        new = [s for s in segments if s not in self.known]
-        self.known |= {s: self.older[s] for s in new if s in self.older}
-        new = [s for s in new if s not in self.known]
-        for s, theirs in zip(new, self.library.encode([s[1:].replace(MARK, " ") for s in new if s[0] == MARK], num_threads=1), strict=True):
-            ids = self.merge(s)
-            if ids != theirs and s != MARK:  # alone, a mark is the library's empty text
-                raise ValueError(f"the agenda and the sentencepiece library differ on {s!r}: {ids} and {theirs}")
-            if self.spelled(ids) != s:
+        new = segments.difference(self.known)
+        again = new.intersection(self.older)
+        self.known.update((s, self.older[s]) for s in again)
+        todo = list(new - again)
+        # The library puts a mark before every text: after one, a segment stands as it does here.
+        theirs = self.library.encode([s[1:].replace(MARK, " ") if s[0] == MARK else s for s in todo], num_threads=1)
+        for s, ids, other in zip(todo, self.merge_all(todo), theirs, strict=True):
+            if s[0] == MARK and ids != other and s != MARK:
+                raise ValueError(f"the agenda and the sentencepiece library differ on {s!r}: {ids} and {other}")
+            if s[0] != MARK and self.spelled(other).removeprefix(MARK) != self.spelled(ids):
+                raise ValueError(f"the agenda and the sentencepiece library differ on {s!r}: {ids} and {other}")
+            if "".join([self.pieces[i] for i in ids]) != s and self.spelled(ids) != s:
                 self.respelled.add(s)
-            self.known[s] = ",".join(map(str, ids))
+            self.known[s] = ",".join([self.names[i] for i in ids])
 
     def encode(self, text: str) -> tuple[str, str]:
         """Ids joined by commas, and the text that they decode to (each segment's ids were decoded when it was learnt)."""
         segments = self.segments(text)
-        self.learn(dict.fromkeys(segments))
-        ids = ",".join([self.known[s] for s in segments])
-        if not self.respelled.isdisjoint(segments):
+        self.learn(set(segments))
+        return self._joined(segments)
+
+    def _joined(self, segments: list[str]) -> tuple[str, str]:
+        known = self.known
+        ids = ",".join([known[s] for s in segments])
+        if self.respelled and not self.respelled.isdisjoint(segments):
             return ids, self.decode(list(map(int, ids.split(","))))
         return ids, "".join(segments).removeprefix(MARK).replace(MARK, " ")
 
+    def encode_batch(self, texts: list[str]) -> list[tuple[str, str]]:
+        """As encode; new segments of CHUNK texts are learnt together, and some whole texts are held against the library."""
+        out = []
+        for low in range(0, len(texts), CHUNK):
+            part = [self.segments(t) for t in texts[low : low + CHUNK]]
+            self.learn(set().union(*part))
+            out += map(self._joined, part)
+        for k in range(0, len(texts), WHOLE_EVERY):
+            if out[k][0] != ",".join(map(str, self.library.encode(texts[k]))):
+                raise ValueError(f"the agenda and the sentencepiece library differ on text {k} of a batch")
+        return out
+
     def decode(self, ids: list[int]) -> str:
         return self.spelled(ids).removeprefix(MARK).replace(MARK, " ")
 
@@ -146,8 +249,7 @@ def _digests(path: str):
         model = loaded(path)
         for batch in batches:
             counts, ids_sha, decoded_sha = [], [], []
-            for value in batch.column("text"):
-                ids, decoded = model.encode(value.as_py() or "")
+            for ids, decoded in model.encode_batch([t or "" for t in batch.column("text").to_pylist()]):
                 counts.append(ids.count(",") + 1 if ids else 0)
                 ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
                 decoded_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
@@ -165,8 +267,7 @@ def _ids(path: str):
         model = loaded(path)
         for batch in batches:
             ids, decoded = [], []
-            for value in batch.column("text"):
-                joined, text = model.encode(value.as_py() or "")
+            for joined, text in model.encode_batch([t or "" for t in batch.column("text").to_pylist()]):
                 ids.append([int(i) for i in joined.split(",")] if joined else [])
                 decoded.append(text)
             keep = [c for c in batch.schema.names if c != "text"]

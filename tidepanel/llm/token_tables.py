@@ -40,8 +40,9 @@ BLOCK = 64 * 1024
 BITS_A_KEY, HASHES = 10, 7
 FOOTER = struct.Struct("<QQQQQQQB7x8s")
 #: Words a worker remembers in each of two generations.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 WORD = re.compile(r"[^ \t\n\r]+")
+MARKS = ".,!?;:%$&#*"
 #: Fixed value: how the tokenizer's file splits a normalized word.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -223,14 +224,18 @@ class Words:
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
         words = WORD.findall(text)
-        try:
-            return b"".join([self.known[w] for w in words])
-        except KeyError:
-            new = [w for w in dict.fromkeys(words) if w not in self.known]
-            self.known |= {w: self.older[w] for w in new if w in self.older}
-            new = [w for w in new if w not in self.known]
-            self.known.update(zip(new, self._each(new) if new else [], strict=True))
-            return b"".join([self.known[w] for w in words])
+        known = self.known
+        new = set(words).difference(known)
+        if new:
+            again = new.intersection(self.older)
+            known.update((w, self.older[w]) for w in again)
+            new -= again
+            # Marks at the end of a word that a letter precedes are a pre-token of their own.
+            stems = {w: s for w in new if (s := w.rstrip(MARKS)) and s != w and s[-1].isalpha()}
+            parts = {*(s for s in stems.values()), *(w[len(s) :] for w, s in stems.items()), *(new - stems.keys())}.difference(known)
+            known.update(zip(parts, self._each(list(parts)) if parts else [], strict=True))
+            known.update((w, known[s] + known[w[len(s) :]]) for w, s in stems.items())
+        return b"".join([known[w] for w in words])
 
 
 _LOADED: dict[str, Words] = {}
