@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tidepanel.llm import mixing, pieces, secret_scan, token_tables
+from tidepanel.llm import mixing, pieces, secret_scan, token_tables, vectors
 
 QUERIES = {
+    "op1_vantage_trees": vectors.op1_vantage_trees,
     "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_token_tables": token_tables.op5_token_tables,
+    "op6_exact_top_k": vectors.op6_exact_top_k,
     "op8_mixing": mixing.op8_mixing,
     "op9_secret_scan": secret_scan.op9_secret_scan,
 }
-ORACLES = {"op8_mixing": mixing.OP8_SQL}
+ORACLES = {"op6_exact_top_k": vectors.OP6_SQL, "op8_mixing": mixing.OP8_SQL}
