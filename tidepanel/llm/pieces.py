@@ -191,7 +191,7 @@ class Pieces:
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
         new = segments.difference(self.known)
-        again = new.intersection(self.older)
+        again = {s for s in new if s in self.older}
         self.known.update((s, self.older[s]) for s in again)
         todo = list(new - again)
         # The library puts a mark before every text: after one, a segment stands as it does here.

@@ -227,8 +227,9 @@ class Words:
         known = self.known
         new = set(words).difference(known)
         if new:
-            again = new.intersection(self.older)
-            known.update((w, self.older[w]) for w in again)
+            older = self.older
+            again = {w for w in new if w in older}
+            known.update((w, older[w]) for w in again)
             new -= again
             # Marks at the end of a word that a letter precedes are a pre-token of their own.
             stems = {w: s for w in new if (s := w.rstrip(MARKS)) and s != w and s[-1].isalpha()}
