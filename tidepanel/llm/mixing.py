@@ -50,7 +50,7 @@ def water_fill(sources: DataFrame, budget: Column | float, max_epochs: float) ->
         .withColumn("_level", F.col("_left") / F.sum("weight").over(after))
         .withColumn("_clamped", F.col("_level") * F.col("weight") >= F.col("_cap"))
     )
-    level = F.min(F.when(~F.col("_clamped"), F.col("_level"))).over(W.partitionBy())
+    level = F.max(F.when(~F.col("_clamped"), F.col("_level"))).over(W.partitionBy())
     return (
         shares.withColumn("_all", level)
         .withColumn("target", F.when(F.col("_clamped"), F.col("_cap")).otherwise(F.col("_all") * F.col("weight")))
@@ -160,7 +160,7 @@ l AS (
   FROM c),
 t AS (
   SELECT source, source_size, CASE WHEN level * weight >= cap THEN cap
-         ELSE weight * min(CASE WHEN level * weight < cap THEN level END) OVER () END AS target
+         ELSE weight * max(CASE WHEN level * weight < cap THEN level END) OVER () END AS target
   FROM l),
 n AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
