@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Rows of (id) that a broadcast may hold; larger sides take a shuffled join.
 BROADCAST_IDS = 2_000_000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,9 +36,15 @@ def fresh_path(spark: SparkSession, what: str) -> str:
 
 def saved(df: DataFrame, what: str = "saved") -> DataFrame:
     """Cut the lineage by a written table in the shared folder; lost executors can't lose it."""
-    path = fresh_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = fresh_path(spark, what)
+    was = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # what was shuffled for a written table isn't needed once it is written
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -53,3 +60,15 @@ def small(df: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
 def md5_unit(*cols: Column) -> Column:
     """A number in [0, 2^32) that any engine with md5 can make from the same columns."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *cols)), 1, 8), 16, 10).cast("long")
+
+
+def hashed_sample(rows: DataFrame, count: int, most: int, text: str = "text") -> list:
+    """At most ``most`` rows with distinct texts, those of least hash; count: rows there are.
+
+    A bound on the hash leaves about 1.25 times ``most`` rows, so tasks send the driver no more than that together.
+    """
+    if not count:
+        return []
+    share = min(1.0, 1.25 * most / count)
+    low = rows.where(F.xxhash64(text) <= F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1))
+    return low.dropDuplicates([text]).orderBy(F.xxhash64(text), text).limit(most).collect()

@@ -47,7 +47,7 @@ MOST, TOKEN_COST, ENTRY_COST, CANDIDATE_COST = 3, 1.0, 0.1, 5.0
 #: Sketches that one task adds up.
 FAN = 32
 #: Rounds of likely partners before the rest is joined, members of their groups, and partners that a class verifies.
-ROUNDS, GROUP, BEST = 2, 8, 2
+ROUNDS, GROUP, BEST = 1, 8, 2
 #: Open lists longer than HOT are compared in blocks of BLOCK members; columns of a block's matrix that are multiplied at once.
 HOT, BLOCK, COLUMNS = 128, 256, 4096
 
@@ -63,7 +63,7 @@ def _first_pass(words: int):
 
         counts = np.zeros(BINS, np.uint32)
         names = ["node", "key", "n", "set_key", "task", "piece", "counts"]
-        for batch in batches:
+        for batch in (whole.slice(low, 1000) for whole in batches for low in range(0, whole.num_rows, 1000)):
             n, keys = [], []
             for found in shingles.sets(batch.column("text").to_pylist(), words):
                 n.append(len(found))
@@ -295,7 +295,7 @@ class Join:
         likely = (
             met.where((F.col("node") != F.col("lead")) & self._near_sizes(F.col("n"), F.col("lead_n")))
             .groupBy("node", "lead").agg(F.count(F.lit(1)).alias("_c"), F.max("size").alias("size"))
-            .where("10 * _c >= size")
+            .where("3 * _c >= size")
             .groupBy("node").agg(F.max(F.struct(F.col("_c"), (-F.col("lead")).alias("_l"))).alias("_best"))
         )
         return self._verified(likely.select(F.col("node").alias("a"), (-F.col("_best._l")).alias("b")))
@@ -312,11 +312,12 @@ class Join:
         sizes = open_.groupBy("token").agg(F.count(F.lit(1)).alias("_n"))
         groups = F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.ceil(F.log2(F.col("_n") / GROUP)))).cast("long")
         dealt = open_.join(sizes, "token").withColumn("group", F.pmod(F.xxhash64("node", F.lit(turn)), groups))
-        dealt = common.saved(dealt.select("token", "group", "node", "n", "comp"), "groups")
-        x = dealt.select("token", "group", F.col("node").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"))
-        y = dealt.select("token", "group", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"))
+        dealt = common.saved(dealt.select("token", "group", "node", "n", "size", "comp"), "groups")
+        x = dealt.select("token", "group", F.col("node").alias("a"), F.col("n").alias("an"), F.col("size").alias("asize"), F.col("comp").alias("ac"))
+        y = dealt.select("token", "group", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("size").alias("bsize"), F.col("comp").alias("bc"))
         pairs = x.join(y, ["token", "group"]).where((F.col("ac") < F.col("bc")) & self._near_sizes(F.col("an"), F.col("bn")))
-        counted = common.saved(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")), "partners")
+        counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max(F.least("asize", "bsize")).alias("size"))
+        counted = common.saved(counted.where("3 * c >= size"), "partners")
         both = counted.select(F.col("a").alias("me"), "a", "b", "c").unionByName(counted.select(F.col("b").alias("me"), "a", "b", "c"))
         best = both.withColumn("_r", F.row_number().over(W.partitionBy("me").orderBy(F.desc("c"), "a", "b"))).where(F.col("_r") <= BEST)
         return best.select("a", "b")

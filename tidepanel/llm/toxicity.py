@@ -172,12 +172,11 @@ def _swap_step(w: np.ndarray, pairs: list, n: int, strength: float) -> np.ndarra
 
 
 def learn(labelled: DataFrame, per_label: int = PER_LABEL, text: str = "text", label: str = "toxic", **options) -> Model:
-    """A model from labelled (text, label in 0, 1). Samples by the hash of the text, one bounded sort a label."""
+    """A model from labelled (text, label in 0, 1). Samples distinct texts by hash, a bounded set a label."""
     rows = labelled.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1))
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    order = [F.xxhash64("text"), "text"]
-    sample = [r for k in (0, 1) for r in rows.where(F.col("label") == k).orderBy(*order).limit(per_label).collect()]
+    sample = [r for k in (0, 1) for r in common.hashed_sample(rows.where(F.col("label") == k), counts.get(k, 0), per_label)]
     return fit([r["text"] for r in sample], [r["label"] for r in sample], share, **options)
 
 
