@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Rows of (id) that a broadcast may hold; larger sides take a shuffled join.
 BROADCAST_IDS = 2_000_000
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -38,12 +39,16 @@ def saved(df: DataFrame, what: str = "saved") -> DataFrame:
     """Cut the lineage by a written table in the shared folder; lost executors can't lose it."""
     spark = df.sparkSession
     path = fresh_path(spark, what)
-    was = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")  # what was shuffled for a written table isn't needed once it is written
+    # What was shuffled for a written table isn't needed once it is written; batches of long texts stay small.
+    own = {CLEANUP: "true", BATCH_BYTES: str(8 << 20)}
+    was = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, was)
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
