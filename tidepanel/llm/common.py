@@ -77,3 +77,16 @@ def hashed_sample(rows: DataFrame, count: int, most: int, text: str = "text") ->
     share = min(1.0, 1.25 * most / count)
     low = rows.where(F.xxhash64(text) <= F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1))
     return low.dropDuplicates([text]).orderBy(F.xxhash64(text), text).limit(most).collect()
+
+
+def trimmed(batches):
+    """The same batches; when they end, freed memory goes back to the system, for workers live on."""
+    import ctypes
+
+    import pyarrow as pa
+
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

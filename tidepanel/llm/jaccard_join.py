@@ -52,6 +52,10 @@ ROUNDS, GROUP, BEST = 1, 8, 2
 HOT, BLOCK, COLUMNS = 128, 256, 4096
 
 
+def _trim(run):
+    return lambda batches: common.trimmed(run(batches))
+
+
 def overlap_needed(n: int, percent: int) -> int:
     """Least intersection of a set of n with any set it links with."""
     return -(-percent * n // 100)
@@ -241,7 +245,7 @@ class Join:
         self.words, self.percent = words, percent
         self.docs = with_nodes(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")))
         first = common.saved(
-            self.docs.mapInArrow(_first_pass(words), "node bigint, key bigint, n bigint, set_key binary, task bigint, piece int, counts binary"), "shingle-sets"
+            self.docs.mapInArrow(_trim(_first_pass(words)), "node bigint, key bigint, n bigint, set_key binary, task bigint, piece int, counts binary"), "shingle-sets"
         )
         #: One row a document: node, key, n, set_key.
         self.rows = first.where("task IS NULL").select("node", "key", "n", "set_key")
@@ -254,7 +258,7 @@ class Join:
         copies = common.saved(self.rows.join(self.classes, "set_key", "left").where("rep IS NULL OR node <> rep").select("node"), "not-representatives")
         reps = self.docs.join(common.small(copies), "node", "left_anti").select("node", "text")
         shared = reps.sparkSession.sparkContext.broadcast(self.sketch)
-        return common.saved(reps.mapInArrow(_prefixes(self.words, self.percent, shared), "token bigint, node bigint, n int, need tinyint, size int"), "prefixes")
+        return common.saved(reps.mapInArrow(_trim(_prefixes(self.words, self.percent, shared)), "token bigint, node bigint, n int, need tinyint, size int"), "prefixes")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """pairs(a, b) that are links; sets are made again for the documents in question alone."""
@@ -263,7 +267,7 @@ class Join:
         made = self._sets_of(wanted)
         left = pairs.join(made.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
         whole = left.join(made.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb")
-        hits = common.saved(whole.mapInArrow(_verify(self.percent), "a bigint, b bigint, hit boolean"), "verified")
+        hits = common.saved(whole.mapInArrow(_trim(_verify(self.percent)), "a bigint, b bigint, hit boolean"), "verified")
         return hits.where("hit").select("a", "b")
 
     def _near_sizes(self, x, y):
@@ -349,7 +353,7 @@ class Join:
         texts = self.docs.join(common.small(nodes), "node", "left_semi").select("node", "text")
         if self.repeats:
             texts = texts.dropDuplicates(["node"])
-        return common.saved(texts.mapInArrow(_sets(self.words), "node bigint, set binary"), "sets")
+        return common.saved(texts.mapInArrow(_trim(_sets(self.words)), "node bigint, set binary"), "sets")
 
     def _blocks(self, lists: DataFrame) -> DataFrame:
         """Links within long lists. Members are dealt to blocks by hash; every two blocks meet in one group of at most about

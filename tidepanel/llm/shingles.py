@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Bytes of text that are hashed together.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _RNG = np.random.default_rng(20240607)
 _TABLE = _RNG.integers(0, 2**64, 256, np.uint64) | np.uint64(1)
 _P = 0x9E3779B97F4A7C15 | 1

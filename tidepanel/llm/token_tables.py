@@ -40,7 +40,7 @@ BLOCK = 64 * 1024
 BITS_A_KEY, HASHES = 10, 7
 FOOTER = struct.Struct("<QQQQQQQB7x8s")
 #: Words a worker remembers in each of two generations.
-REMEMBERED = 350_000
+REMEMBERED = 450_000
 WORD = re.compile(r"[^ \t\n\r]+")
 MARKS = ".,!?;:%$&#*"
 #: Fixed value: how the tokenizer's file splits a normalized word.

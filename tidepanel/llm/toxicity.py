@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 from tidepanel.llm import common
 
 #: Whole labelled texts of each label that a model learns from at most.
-PER_LABEL = 2000
+PER_LABEL = 1500
 #: Score from which on a text is toxic.
 CUT = 0.3
 #: Words a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 SLOTS = 1 << 20
 WORD = re.compile(r"[^\W\d_]+")
 #: Sets of terms that name groups; terms of a set may stand for one another.
@@ -103,14 +103,15 @@ def fit(texts: list[str | None], labels: list[int], share: float, l1: float = 2e
     if not len(y) or y.min() == y.max():
         p = float(np.clip(share, 1e-9, 1 - 1e-9)) if len(y) else 1e-9
         return Model(float(np.log(p / (1 - p))), np.array([], np.int64), np.array([]))
-    index: dict[str, np.ndarray] = {}
+    index: dict[str, np.ndarray] = {}  # slots of each word
 
     def row(own: set[str]) -> np.ndarray:
         for w in own:
             if w not in index:
                 index[w] = np.array(features(w), np.int64)
         parts = [index[w] for w in sorted(own)]
-        return np.unique(np.concatenate(parts), return_counts=True) if parts else (np.array([], np.int64), np.array([], np.int64))
+        slots, times = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.array([]), np.array([]))
+        return slots.astype(np.int32), times.astype(np.int16)
 
     own_words = [words(t) for t in texts]
     rows = [row(o) for o in own_words]
@@ -126,15 +127,16 @@ def fit(texts: list[str | None], labels: list[int], share: float, l1: float = 2e
     place[used] = np.arange(len(used))
 
     def matrix(found: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        r = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
-        c = place[np.concatenate([x[0] for x in found])]
-        v = np.concatenate([x[1] for x in found]).astype(np.float64)
+        r = np.repeat(np.arange(len(found), dtype=np.int32), [len(x[0]) for x in found])
+        c = place[np.concatenate([x[0] for x in found])].astype(np.int32)
+        v = np.concatenate([x[1] for x in found]).astype(np.float32)
         keep = c >= 0
         return r[keep], c[keep], v[keep]
 
     r, c, v = matrix(rows)
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean())) / len(y)
     pairs = [matrix([x[k] for x in swaps]) for k in (0, 1)] if swaps else []
+    del rows, index, own_words
     # A step for each feature by its own curvature: sums of squares, and length of the longest rows.
     w, b = np.zeros(len(used)), float(np.log(share / (1 - share)))
     length = np.bincount(r, v, minlength=len(y))
