@@ -90,3 +90,15 @@ def trimmed(batches):
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
+
+
+def slices(batches, rows: int = 500):
+    """The batches, at most so many rows at a time."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
+def sparing(run):
+    """A batch function that sees few rows at a time and gives memory back at the end of its task."""
+    return lambda batches: trimmed(run(slices(batches)))

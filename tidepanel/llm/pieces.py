@@ -29,7 +29,7 @@ from tidepanel.llm import common
 
 MARK = "▁"
 #: Segments a worker remembers in each of two generations; those met again move to the younger one.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 BYTE = re.compile(r"<0x([0-9A-F]{2})>$")
 #: Ways to cut a text, finest first; a vocabulary takes the first that cuts none of its pieces.
 SEGMENTS = [
@@ -279,13 +279,13 @@ def _ids(path: str):
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, ids (array of int) and decoded of every document."""
     read = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return read.mapInArrow(_ids(path), f"key {dict(read.dtypes)['key']}, ids array<int>, decoded string").withColumnRenamed("key", key)
+    return read.mapInArrow(common.sparing(_ids(path)), f"key {dict(read.dtypes)['key']}, ids array<int>, decoded string").withColumnRenamed("key", key)
 
 
 def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_tokens, ids_sha256 and decoded_sha256, without the ids leaving the worker."""
     read = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return read.mapInArrow(_digests(path), f"key {dict(read.dtypes)['key']}, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)
+    return read.mapInArrow(common.sparing(_digests(path)), f"key {dict(read.dtypes)['key']}, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)
 
 
 def default_model() -> str:

@@ -117,7 +117,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str =
     )
     kind = dict(read.dtypes)["key"]
     thin = common.saved(
-        read.mapInArrow(_extract, f"key {kind}, owner string, repository string, text_key string, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, found {SPAN_DDL}"),
+        read.mapInArrow(common.sparing(_extract), f"key {kind}, owner string, repository string, text_key string, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, found {SPAN_DDL}"),
         "secret-spans",
     )
     some = thin.where(F.size("found") > 0)
@@ -166,7 +166,7 @@ def redact(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     with_spans = docs.withColumn("_key", key).join(found.withColumnRenamed("text_key", "_key"), "_key", "left").drop("_key")
     packed = with_spans.select(F.struct(*[c for c in cols if c != text]).alias("_row"), F.col(text).alias("_text"), "_spans")
     rows = packed.select("_row").schema["_row"].dataType.simpleString()
-    return packed.mapInArrow(_mask, f"_row {rows}, _text string").select(*[F.col("_text").alias(text) if c == text else F.col(f"_row.`{c}`") for c in cols])
+    return packed.mapInArrow(common.sparing(_mask), f"_row {rows}, _text string").select(*[F.col("_text").alias(text) if c == text else F.col(f"_row.`{c}`") for c in cols])
 
 
 def op9_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -197,7 +197,7 @@ def score(docs: DataFrame, model: Model, keep: list[Column], text: str = "text")
     """The kept columns and score. The model that is broadcast has at most SLOTS weights."""
     read = docs.select(*keep, F.col(text).alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields if f.name != "_text")
-    return read.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model)), f"{kinds}, score double")
+    return read.mapInArrow(common.sparing(_scorer(docs.sparkSession.sparkContext.broadcast(model))), f"{kinds}, score double")
 
 
 def with_labels(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
