@@ -102,3 +102,9 @@ def slices(batches, rows: int = 500):
 def sparing(run):
     """A batch function that sees few rows at a time and gives memory back at the end of its task."""
     return lambda batches: trimmed(run(slices(batches)))
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, whose session from now on hands long texts to Python in batches of 8 MB."""
+    df.sparkSession.conf.set(BATCH_BYTES, str(8 << 20))
+    return df

@@ -39,7 +39,7 @@ SEGMENTS = [
 #: A rank after all others; symbols from which on a segment gets an agenda of its own; segments merged at once.
 LATE, LONG, TOGETHER = 1 << 40, 64, 10_000
 #: Texts whose new segments are learnt together; every so many texts of a batch one is held whole against the library.
-CHUNK, WHOLE_EVERY = 200, 500
+CHUNK, WHOLE_EVERY = 100, 500
 
 
 class Pieces:
@@ -278,13 +278,13 @@ def _ids(path: str):
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, ids (array of int) and decoded of every document."""
-    read = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    read = common.small_batches(docs).select(F.col(key).alias("key"), F.col(text).alias("text"))
     return read.mapInArrow(common.sparing(_ids(path)), f"key {dict(read.dtypes)['key']}, ids array<int>, decoded string").withColumnRenamed("key", key)
 
 
 def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_tokens, ids_sha256 and decoded_sha256, without the ids leaving the worker."""
-    read = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    read = common.small_batches(docs).select(F.col(key).alias("key"), F.col(text).alias("text"))
     return read.mapInArrow(common.sparing(_digests(path)), f"key {dict(read.dtypes)['key']}, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)
 
 

@@ -189,13 +189,14 @@ def _scorer(shared):
             score = [model.score(t) for t in batch.column("_text").to_pylist()]
             keep = [c for c in batch.schema.names if c != "_text"]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(score, pa.float64())], names=[*keep, "score"])
+        model.known.clear()  # the worker keeps the broadcast model for as long as it lives
 
     return run
 
 
 def score(docs: DataFrame, model: Model, keep: list[Column], text: str = "text") -> DataFrame:
     """The kept columns and score. The model that is broadcast has at most SLOTS weights."""
-    read = docs.select(*keep, F.col(text).alias("_text"))
+    read = common.small_batches(docs).select(*keep, F.col(text).alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields if f.name != "_text")
     return read.mapInArrow(common.sparing(_scorer(docs.sparkSession.sparkContext.broadcast(model))), f"{kinds}, score double")
 
