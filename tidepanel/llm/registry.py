@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidepanel.llm import jaccard_join, language_id, mixing, pieces, secret_scan, token_tables, toxicity, vectors
+from tidepanel.llm import html_text, jaccard_join, language_id, mixing, pieces, secret_scan, token_tables, toxicity, vectors
 
 QUERIES = {
     "op1_vantage_trees": vectors.op1_vantage_trees,
+    "op2_html_text": html_text.op2_html_text,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_token_tables": token_tables.op5_token_tables,
