@@ -79,8 +79,8 @@ def hac_meat(rows: DataFrame, xs: list[str], y: str, beta: list[float], lags: in
     return pairs.agg(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.sum(each(i, j)).alias("value")) for i, j in cells]).alias("all")).select(F.inline("all"))
 
 
-def hac_errors(rows: DataFrame, xs: list[str], y: str, lags: int, pos: str = "pos") -> list[tuple[str, float, float]]:
-    """(name, coefficient, session-spaced Newey-West error) of each column."""
+def hac_covariance(rows: DataFrame, xs: list[str], y: str, lags: int, pos: str = "pos") -> tuple[list[float], list[list[float]]]:
+    """Coefficients, intercept first, and their session-spaced Newey-West covariance."""
     beta, k = fit(rows, xs, y), len(xs) + 1
     a = [[0.0] * k for _ in range(k)]
     for r in normal_equations(rows, xs, y).where("j >= 0").collect():
@@ -89,8 +89,14 @@ def hac_errors(rows: DataFrame, xs: list[str], y: str, lags: int, pos: str = "po
     for r in hac_meat(rows, xs, y, beta, lags, pos).collect():
         meat[r["i"]][r["j"]] = meat[r["j"]][r["i"]] = r["value"]
     inverse = [solve(a, [float(i == j) for i in range(k)]) for j in range(k)]
-    cov = lambda p: sum(inverse[p][i] * meat[i][j] * inverse[j][p] for i in range(k) for j in range(k))
-    return [(name, b, math.sqrt(cov(p))) for p, (name, b) in enumerate(zip(["const", *xs], beta, strict=True))]
+    cov = [[sum(inverse[p][i] * meat[i][j] * inverse[j][q] for i in range(k) for j in range(k)) for q in range(k)] for p in range(k)]
+    return beta, cov
+
+
+def hac_errors(rows: DataFrame, xs: list[str], y: str, lags: int, pos: str = "pos") -> list[tuple[str, float, float]]:
+    """(name, coefficient, session-spaced Newey-West error) of each column."""
+    beta, cov = hac_covariance(rows, xs, y, lags, pos)
+    return [(name, b, math.sqrt(cov[p][p])) for p, (name, b) in enumerate(zip(["const", *xs], beta, strict=True))]
 
 
 def autocorrelation(rows: DataFrame, value: str, pos: str, lags: int = 20) -> DataFrame:
