@@ -60,6 +60,16 @@ def test_bootstrap_of_groups(spark):
         assert abs(got[d] - (f1(t[at], a[at]) - f1(t[at], b[at]))) < 1e-12
 
 
+def test_halves_are_refits(spark):
+    data = np.random.default_rng(9).normal(size=(60, 2))
+    rows = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(data)], "pos int, z double, y double")
+    got = {r[0]: r for r in inference.halves(rows, ["z"], "y", 2, "z")}
+    slope = lambda d: np.polyfit(d[:, 0], d[:, 1], 1)[0]
+    for name, part in (("full", data), ("first", data[:30]), ("second", data[30:])):
+        assert got[name][1] == len(part) and abs(got[name][2] - slope(part)) < 1e-10
+    assert abs(got["difference"][2] - (slope(data[30:]) - slope(data[:30]))) < 1e-10
+
+
 def test_empty_inputs(spark):
     none = spark.createDataFrame([], "pos int, z double, y double")
     assert inference.shift_coefficients(none, "z", "y").count() == 0
