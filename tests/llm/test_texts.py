@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tidepanel.llm import jaccard_join, language_id, pieces, secret_scan, token_tables, toxicity
+from tidepanel.llm import common, jaccard_join, language_id, pieces, secret_scan, token_tables, toxicity
 
 ODD = [None, "", " ", "  ", "a", "▁", "é à\t\n", "x" * 3000, "it's <|endoftext|> <s>", "中文 😀", "\x1c a\x85b\xa0c", "A  b   c"]
 
@@ -144,3 +144,22 @@ def test_language_by_words():
 
 def test_stages_are_as_promised():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "secrets", "mixing", "pieces"]
+
+
+def copies(spark):
+    return spark.range(30000).selectExpr("concat('text ', id % 20) AS text", "'xx' AS lang").unionByName(spark.range(40).selectExpr("concat('other ', id) AS text", "'yy' AS lang"))
+
+
+def test_copies_do_not_thin_what_is_learned(spark):
+    model = language_id.learn(copies(spark).selectExpr("concat(text, if(lang = 'xx', ' und der hund', ' and the dog')) AS text", "lang"))
+    assert model.labels == ["xx", "yy"]
+    toxic = spark.range(100000).selectExpr("concat(if(id % 4 = 0, 'vilest rubbish ', 'quiet garden '), id % 40) AS text", "int(id % 4 = 0) AS toxic")
+    scorer = toxicity.learn(toxic)
+    assert scorer.score("vilest rubbish 8") >= toxicity.CUT > scorer.score("quiet garden 9")
+
+
+def test_samples_are_filled_with_distinct_texts(spark):
+    rows = copies(spark).unionByName(spark.createDataFrame([(None, "zz")], "text string, lang string"))
+    found = common.hashed_sample(rows, 15, "lang")
+    assert {k: (len(v), len({r["text"] for r in v})) for k, v in found.items()} == {"xx": (15, 15), "yy": (15, 15), "zz": (1, 1)}
+    assert len(common.hashed_sample(rows, 400, "lang")["xx"]) == 20

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of (id) that a broadcast may hold; larger sides take a shuffled join.
 BROADCAST_IDS = 2_000_000
@@ -67,16 +68,27 @@ def md5_unit(*cols: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *cols)), 1, 8), 16, 10).cast("long")
 
 
-def hashed_sample(rows: DataFrame, count: int, most: int, text: str = "text") -> list:
-    """At most ``most`` rows with distinct texts, those of least hash; count: rows there are.
+def hashed_sample(rows: DataFrame, most: int, by: str, text: str = "text") -> dict:
+    """For each value of ``by``: its rows with distinct texts, ``most`` of least hash or all if there are fewer.
 
-    A bound on the hash leaves about 1.25 times ``most`` rows, so tasks send the driver no more than that together.
+    Distinct hashes are counted first, so copies don't thin the sample. A bound on the hash then leaves about 1.25 times
+    ``most`` texts a value, so tasks send the driver no more than that together; values left short are read again with a wider one.
     """
-    if not count:
-        return []
-    share = min(1.0, 1.25 * most / count)
-    low = rows.where(F.xxhash64(text) <= F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1))
-    return low.dropDuplicates([text]).orderBy(F.xxhash64(text), text).limit(most).collect()
+    hashed = rows.select(by, text, F.xxhash64(text).alias("_hash"))
+    distinct = {r[by]: r["count"] for r in hashed.select(by, "_hash").distinct().groupBy(by).count().collect()}
+    share, got, open_ = {v: 1.25 * most / n for v, n in distinct.items()}, {}, sorted(distinct)
+    kind = T.StructType([T.StructField(by, rows.schema[by].dataType), T.StructField("_bound", T.LongType())])
+    while open_:
+        bounds = [(v, int(-(2**63) + share[v] * (2**64 - 1)) if share[v] < 1 else 2**63 - 1) for v in open_]
+        low = hashed.join(F.broadcast(rows.sparkSession.createDataFrame(bounds, kind)), by).where("_hash <= _bound").select(by, text, "_hash").distinct()
+        found: dict = {v: [] for v in open_}
+        for r in low.collect():
+            found[r[by]].append(r)
+        for v, own in found.items():
+            got[v] = sorted(own, key=lambda r: (r["_hash"], (r[text] or "").encode()))[:most]
+        open_ = [v for v in open_ if len(got[v]) < most and share[v] < 1]
+        share.update({v: 4 * share[v] for v in open_})
+    return got
 
 
 def trimmed(batches):

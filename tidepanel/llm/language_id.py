@@ -225,8 +225,9 @@ def _gradient(emit: np.ndarray, moves: np.ndarray, start: np.ndarray, y: np.ndar
 def learn(rows: DataFrame, per_language: int = PER_LANGUAGE, text: str = "text", lang: str = "lang") -> Model:
     """A model from (text, lang): distinct whole texts by hash, a bounded set a language."""
     own = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    sample = [r for c in sorted(counts, key=lambda c: c["lang"]) for r in common.hashed_sample(own.where(F.col("lang") == c["lang"]), c["n"], per_language)]
+    counts = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    found = common.hashed_sample(own.join(F.broadcast(counts.select("lang")), "lang"), per_language, "lang")
+    sample = [r for name in sorted(found) for r in found[name]]
     return fit([r["text"] for r in sample], [r["lang"] for r in sample])
 
 

@@ -178,7 +178,8 @@ def learn(labelled: DataFrame, per_label: int = PER_LABEL, text: str = "text", l
     rows = labelled.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1))
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    sample = [r for k in (0, 1) for r in common.hashed_sample(rows.where(F.col("label") == k), counts.get(k, 0), per_label)]
+    found = common.hashed_sample(rows, per_label, "label")
+    sample = [r for k in sorted(found) for r in found[k]]
     return fit([r["text"] for r in sample], [r["label"] for r in sample], share, **options)
 
 
