@@ -7,3 +7,9 @@ def test_layout():
     assert render("<ul><li>x<li>y<ol><li>1<li>2</ol></ul>") == "- x\n- y\n  1. 1\n  2. 2"
     assert render("<table><tr><td>a<td>bb<tr><td>ccc<td>d</table>") == "a    bb\nccc  d"
     assert "broken" in render("<div><p>broken <b>&amp; <td")
+
+
+def test_a_head_ends_by_itself():
+    assert render("<head><title>T</title><p>Hello <b>you</b>") == render("<!doctype html><html><head><title>T</title><meta charset=x>Hello you") == "Hello you"
+    assert render("<head><noscript><img alt=no></noscript><script>if (a<b) c</script> <style>p</style>\n<div>yes</div><head>too") == "yes\n\ntoo"
+    assert render("<html><head><title>x</title></head><body>a</body></html>") == "a"

@@ -1,6 +1,6 @@
 """HTML to visible text, laid out.
 
-A tree builder closes implied tags (items, cells, rows, options, terms, paragraphs before blocks) and void elements; visibility
+A tree builder closes implied tags (items, cells, rows, options, terms, paragraphs before blocks, a head at the first thing that can't be in one) and void elements; visibility
 rules drop what is never shown (head, scripts, styles, templates, `hidden`, display:none, visibility:hidden). Rendering
 keeps blocks apart, numbers or marks list items by depth, keeps preformatted text, and pads table cells to columns.
 
@@ -25,6 +25,8 @@ UNSEEN = set("head script style template noscript title meta link svg iframe obj
 BLOCK = set("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table ul".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
           "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}, "thead": {"tr", "td", "th"}, "body": {"head"}}
+#: What may stand in a head; anything else ends it.
+HEAD = set("base basefont bgsound link meta noframes noscript script style template title".split())
 SCOPE = set("table ul ol dl select".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 DEEPEST = 200
@@ -42,9 +44,14 @@ class Node:
 class Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open = [Node("#root", {})]
+        self.open, self.begun = [Node("#root", {})], False
 
     def handle_starttag(self, tag, attrs):
+        if tag == "head" and self.begun:
+            return  # only the first one, before all else, is a head
+        self.begun |= tag != "html"
+        if self.open[-1].tag == "head" and tag not in HEAD:
+            self.open.pop()
         shut = CLOSES.get(tag, set()) | ({"p"} if tag in BLOCK else set())
         while len(self.open) > 1 and self.open[-1].tag in shut:
             self.open.pop()
@@ -66,6 +73,10 @@ class Builder(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if data.strip():
+            self.begun = True
+            if self.open[-1].tag == "head":
+                self.open.pop()
         self.open[-1].kids.append(data)
 
 
