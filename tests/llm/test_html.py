@@ -13,3 +13,13 @@ def test_a_head_ends_by_itself():
     assert render("<head><title>T</title><p>Hello <b>you</b>") == render("<!doctype html><html><head><title>T</title><meta charset=x>Hello you") == "Hello you"
     assert render("<head><noscript><img alt=no></noscript><script>if (a<b) c</script> <style>p</style>\n<div>yes</div><head>too") == "yes\n\ntoo"
     assert render("<html><head><title>x</title></head><body>a</body></html>") == "a"
+
+
+def test_tables_lose_no_text():
+    assert render("<table><td>a</td><td>b</td></table>") == render("<table><tbody><td>a<th>b</table>") == render("<table><tr><form><td>a</td></form><td>b</td></tr></table>") == "a  b"
+    assert render("<div><table><tr><div><td>a</td></div><td>b</td></tr></table>c</div>") == "a  b\n\nc"
+    assert render("<div>x <table>one<tr>two <b>three</b><td>a</td>four</tr>\n</table>y</div>") == "x onetwo threefour\n\na\n\ny"
+    assert render("<table><caption>k<td><ul><li>p<li>q</ul><td><table><td>in</table>r<tr><td>z</table>") == "k\n- p - q  in  r\nz"
+    assert render("<td>a</td> b") == "a b"
+    deep = "<div>" * 199 + "<table>s<tr><td>t</table>"
+    assert "s" in render(deep) and "t" in render(deep)

@@ -1,6 +1,7 @@
 """HTML to visible text, laid out.
 
-A tree builder closes implied tags (items, cells, rows, options, terms, paragraphs before blocks, a head at the first thing that can't be in one) and void elements; visibility
+A tree builder closes implied tags (items, cells, rows, options, terms, paragraphs before blocks, a head at the first thing that can't be in one;
+rows that cells lack are opened, and what stands in a table outside of cells and captions comes before it) and void elements; visibility
 rules drop what is never shown (head, scripts, styles, templates, `hidden`, display:none, visibility:hidden). Rendering
 keeps blocks apart, numbers or marks list items by depth, keeps preformatted text, and pads table cells to columns.
 
@@ -23,8 +24,11 @@ from tidepanel.llm import common
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = set("head script style template noscript title meta link svg iframe object datalist".split())
 BLOCK = set("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table ul".split())
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
-          "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}, "thead": {"tr", "td", "th"}, "body": {"head"}}
+CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "body": {"head"}}
+#: Parts of a table, those that hold parts only, and those that hold content. What else is put straight into the former stands before the table.
+SECTIONS, CELLS = {"tbody", "thead", "tfoot"}, {"td", "th"}
+PARTS = SECTIONS | CELLS | {"caption", "colgroup", "col", "tr"}
+FRAME, HOLDS = SECTIONS | {"table", "tr", "colgroup"}, CELLS | {"caption"}
 #: What may stand in a head; anything else ends it.
 HEAD = set("base basefont bgsound link meta noframes noscript script style template title".split())
 SCOPE = set("table ul ol dl select".split())
@@ -52,6 +56,14 @@ class Builder(HTMLParser):
         self.begun |= tag != "html"
         if self.open[-1].tag == "head" and tag not in HEAD:
             self.open.pop()
+        if tag in PARTS:
+            self._part(tag, attrs)
+            return
+        if self.open[-1].tag in FRAME:
+            if tag == "form":
+                return  # holds nothing there
+            if tag == "table":
+                self.handle_endtag("table")
         shut = CLOSES.get(tag, set()) | ({"p"} if tag in BLOCK else set())
         while len(self.open) > 1 and self.open[-1].tag in shut:
             self.open.pop()
@@ -62,22 +74,53 @@ class Builder(HTMLParser):
                 del self.open[k:]
                 break
         node = Node(tag, dict(attrs))
-        self.open[-1].kids.append(node)
+        self._put(node, tag not in ("script", "style", "template"))
         if tag not in VOID and len(self.open) < DEEPEST:
             self.open.append(node)
 
+    def _table(self) -> int:
+        """Where the innermost open table is, 0 if none is open."""
+        return next((k for k in range(len(self.open) - 1, 0, -1) if self.open[k].tag == "table"), 0)
+
+    def _put(self, kid: Node | str, shown: bool) -> None:
+        """Into the open element; what is shown and no part goes before the table instead of straight into it."""
+        if shown and self.open[-1].tag in FRAME:
+            k = self._table()
+            kids = self.open[k - 1].kids
+            kids.insert(next(i for i in range(len(kids) - 1, -1, -1) if kids[i] is self.open[k]), kid)
+        else:
+            self.open[-1].kids.append(kid)
+
+    def _part(self, tag: str, attrs: list) -> None:
+        """A part of the innermost table, whatever is open in it; outside of tables it is no element."""
+        k = self._table()
+        if not k or tag == "col":
+            return
+        keep = k + 1
+        for kinds in (SECTIONS, {"tr"}) if tag in CELLS else (SECTIONS,) if tag == "tr" else ():
+            keep += keep < len(self.open) and self.open[keep].tag in kinds
+        del self.open[keep:]
+        for name in ("tr", tag) if tag in CELLS and self.open[-1].tag != "tr" else (tag,):
+            node = Node(name, dict(attrs) if name == tag else {})
+            self.open[-1].kids.append(node)
+            if len(self.open) < DEEPEST:
+                self.open.append(node)
+
     def handle_endtag(self, tag):
+        stop = set() if tag == "table" else {"table"} if tag in PARTS or tag in ("body", "html") else HOLDS | {"table"}
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag == tag:
                 del self.open[k:]
                 return
+            if self.open[k].tag in stop:  # a table's content doesn't end what is around it
+                return
 
     def handle_data(self, data):
         if data.strip():
             self.begun = True
             if self.open[-1].tag == "head":
                 self.open.pop()
-        self.open[-1].kids.append(data)
+        self._put(data, bool(data.strip()))
 
 
 def _table(node: Node) -> str:
