@@ -55,3 +55,20 @@ def test_exact_top_by_integers(spark):
         want = sorted((j for j in range(901) if j != q), key=lambda j: (-s[j], ids[j]))[:20]
         assert [(v, x) for _, v, x in sorted(got[q])] == [(ids[j], int(s[j])) for j in want]
     assert vectors.exact_top(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_a_repeated_query_id_costs_no_candidate(spark):
+    rng = np.random.default_rng(2)
+    vec = np.float32(rng.normal(size=(300, 8)))
+    vec[40:75] = 5  # copies that score best for one another, some of them of a repeated id
+    ids = [20, 20, *range(101, 138), 60, *[40] * 25, *range(201, 436)]
+    vec[:2] = 3 * vec[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, vec, strict=True)], "vec_id long, embedding array<float>").coalesce(1)
+    for found, whole in ((vectors.exact_top(df, F.col("vec_id").isin(20, 40)), np.floor(64 * vec.astype(np.float64))), (vectors.nearest(df, F.col("vec_id").isin(20, 40), factor=1.0), vec.astype(np.float64))):
+        got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in found.collect())
+        want = []
+        for q in (k for k in range(300) if ids[k] in (20, 40)):
+            s = whole @ whole[q]
+            best = sorted((j for j in range(300) if ids[j] != ids[q]), key=lambda j: (-round(s[j], 9), ids[j]))[:20]
+            want += [(ids[q], k + 1, ids[j], round(float(s[j]), 6)) for k, j in enumerate(best)]
+        assert got == sorted(want)

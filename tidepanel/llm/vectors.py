@@ -198,12 +198,13 @@ def exact_search(block: dict, tile: dict, best: Best) -> None:
         if not len(rows):
             continue
         score = score[rows]
+        score[block["ids"][low + rows][:, None] == tile["ids"]] = -np.inf  # a query's own id is none, however often it is there
         need = best.least[low : low + 512][rows].astype(np.float64)
         if x.shape[0] > k:
-            need = np.maximum(need, np.partition(score, -k - 1, axis=1)[:, -k - 1])
+            need = np.maximum(need, np.partition(score, -k, axis=1)[:, -k])
         more = score > need[:, None]
         even = score == need[:, None]
-        even &= np.cumsum(even, axis=1) <= k + 1
+        even &= np.cumsum(even, axis=1) <= k
         q, c = np.nonzero(more | even)
         best.add(low + rows[q], score[q, c].astype(np.int64), tile["ids"][c])
 
@@ -283,6 +284,7 @@ def tree_search(factor: float):
                 np.maximum(lower[:, int(leaf)], np.maximum(least - d, d - most), out=lower[:, int(leaf)])
         order = np.argsort(lower, axis=1, kind="stable")
         slack = 1e-9 * (1 + norm + high)
+        own = np.diff(np.searchsorted(np.sort(tile["ids"]), [block["ids"], block["ids"] + 1]), axis=0)[0]  # rows with each query's id: none of them is a candidate
         for turn in range(n_leaves):
             leaf_of = order[:, turn]
             reach = np.sqrt(np.maximum(0, norm + high - 2 * best.least + slack))  # the k-th distance in this shard's terms
@@ -298,7 +300,7 @@ def tree_search(factor: float):
                     continue
                 q, c = part[q], low + c
                 exact = np.einsum("ij,ij->i", query[q], tile["vec"][c])
-                copies = np.minimum(tile["stop"][c] - tile["first"][c], best.k + 1)
+                copies = np.minimum(tile["stop"][c] - tile["first"][c], best.k + own[q])
                 at = np.repeat(tile["first"][c], copies) + np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
                 best.add(np.repeat(q, copies), np.repeat(exact, copies), tile["ids"][at])
 
