@@ -1,6 +1,7 @@
 """Text operators against libraries and brute force."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -163,3 +164,33 @@ def test_samples_are_filled_with_distinct_texts(spark):
     found = common.hashed_sample(rows, 15, "lang")
     assert {k: (len(v), len({r["text"] for r in v})) for k, v in found.items()} == {"xx": (15, 15), "yy": (15, 15), "zz": (1, 1)}
     assert len(common.hashed_sample(rows, 400, "lang")["xx"]) == 20
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    r = random.Random(6)
+    own = [[f"{a}{b}{w}" for w in ("ro", "mak", "tisu")] for a in "bcdfghjklmnpqrst" for b in "aeiouyäöüéèêô"]
+    rows = [(" ".join(r.choices(words, k=12)), f"l{k:03}") for k, words in enumerate(own) for _ in range(1 if k else 4)]
+    monkeypatch.setattr(language_id, "EPOCHS", 1)
+    model = language_id.learn(spark.createDataFrame(rows, "text string, lang string"))
+    assert len(model.labels) == len(own) == 208
+    got = [g[0] for g in model.shares([" ".join(words * 4) for words in own])]
+    assert sum(g == f"l{k:03}" for k, g in enumerate(got)) >= 200
+    monkeypatch.setattr(language_id, "LANGUAGES", 207)
+    with pytest.raises(ValueError):
+        language_id.learn(spark.createDataFrame(rows, "text string, lang string"))
+
+
+def test_gradient_of_moves_is_that_of_all_pairs():
+    g = np.random.default_rng(8)
+    emit, moves, start, y = g.normal(size=(3, 4, 3)), g.normal(size=(3, 3)), g.normal(size=3), g.integers(0, 3, (3, 4))
+
+    def loss(moves):
+        total = 0.0
+        for k in range(3):
+            score = lambda path: start[path[0]] + sum(emit[k, t, path[t]] for t in range(4)) + sum(moves[path[t], path[t + 1]] for t in range(3))  # noqa: E731, B023
+            total += np.log(sum(np.exp(score(p)) for p in itertools.product(range(3), repeat=4))) - score(y[k])
+        return total / 3
+
+    step = 1e-5 * np.eye(9).reshape(9, 3, 3)
+    numeric = np.array([(loss(moves + d) - loss(moves - d)) / 2e-5 for d in step]).reshape(3, 3)
+    assert np.allclose(language_id._gradient(emit, moves, start, y)[1], numeric, atol=1e-7)

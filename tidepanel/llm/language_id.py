@@ -4,7 +4,8 @@ Each word of a text gets a label. Emissions come from affixes, letter n-grams an
 transitions tie neighbours, so code-switched texts split into runs. A word's marginal by forward-backward is its
 share of each language, and a text's language is the one with the most words in expectation.
 
-Learning: at most ``PER_LANGUAGE`` whole texts a language, chosen by hash; lexicons are the words
+Learning: every language there is, at most ``PER_LANGUAGE`` whole texts of each, chosen by hash; more than ``LANGUAGES``
+of them are an error, none is left out. Lexicons are the words
 typical of a language in them; windows of ``WINDOW`` words are put together from runs of texts of several languages, so
 transitions between languages are seen as well as runs. Everything else takes whole texts of all documents, in one
 pass without a shuffle. Long texts cost their length; chains of similar length advance together.
@@ -28,9 +29,11 @@ from pyspark.sql import functions as F
 
 from tidepanel.llm import common
 
-#: Whole texts of each language that a model learns from at most; languages at most (the most frequent).
-PER_LANGUAGE, LANGUAGES = 400, 200
-SLOTS = 1 << 16
+#: Whole texts of each language that a model learns from at most, and of all of many languages; languages beyond which
+#: an input is refused, for moves between languages cost their square.
+PER_LANGUAGE, TEXTS, LANGUAGES = 400, 80_000, 1000
+#: Slots of features, fewer for many languages: slots times languages are at most WEIGHTS.
+SLOTS, WEIGHTS = 1 << 16, 1 << 24
 WINDOW, WINDOWS, EPOCHS, BATCH = 48, 6000, 3, 200
 LEXICON = 300
 #: Words a worker remembers; words of chains that advance together.
@@ -60,6 +63,7 @@ class Model:
 
     def reset(self) -> None:
         self.place: dict[str, int] = {}
+        self.remembered = min(REMEMBERED, 20 * REMEMBERED // max(1, len(self.labels)))
         self.emission = np.zeros((1024, len(self.labels)))
 
     def __getstate__(self):
@@ -72,11 +76,14 @@ class Model:
 
     def learn_words(self, words: list[str]) -> None:
         """Emissions of words not yet known, as exponentials scaled to a largest of 1."""
-        if not words:
-            return
+        step = max(1, 80_000 // len(self.labels))
+        for low in range(0, len(words), step):
+            self._learn(words[low : low + step])
+
+    def _learn(self, words: list[str]) -> None:
         found = [features(w, self.lexicon) for w in words]
         starts = np.concatenate([[0], np.cumsum([len(f) for f in found])[:-1]])
-        score = np.add.reduceat(self.weights[np.fromiter((s for f in found for s in f), np.int64)], starts, axis=0)
+        score = np.add.reduceat(self.weights[np.fromiter((s for f in found for s in f), np.int64) % len(self.weights)], starts, axis=0)
         score = np.exp(np.maximum(score - score.max(axis=1, keepdims=True), -30))
         n = len(self.place)
         while len(self.emission) < n + len(words):
@@ -89,7 +96,7 @@ class Model:
         out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
         if not self.labels:
             return out
-        if len(self.place) > REMEMBERED:
+        if len(self.place) > self.remembered:
             self.reset()
         chains, which = [], []
         for k, text in enumerate(texts):
@@ -100,10 +107,10 @@ class Model:
                 chains.append(np.array([place[w] for w in words], np.int32))
                 which.append(k)
         order = sorted(range(len(chains)), key=lambda j: len(chains[j]))
-        low = 0
+        low, together = 0, min(TOGETHER, 4 * TOGETHER // len(self.labels))
         while low < len(order):
             high = low + 1
-            while high < len(order) and (high - low + 1) * len(chains[order[high]]) <= TOGETHER:
+            while high < len(order) and (high - low + 1) * len(chains[order[high]]) <= together:
                 high += 1
             part = order[low:high]
             for j, share in zip(part, self._marginals([chains[j] for j in part]), strict=True):
@@ -146,12 +153,16 @@ class Model:
 def fit(texts: list[str], languages: list[str], seed: int = 5) -> Model:
     labels = sorted(set(languages), key=lambda x: x.encode())
     size = len(labels)
-    by = [[WORD.findall(t.lower()) for t, l in zip(texts, languages, strict=True) if l == name] for name in labels]
-    by = [[w for w in docs if w] for docs in by]
+    at, by, seen = {name: k for k, name in enumerate(labels)}, [[] for _ in labels], {}
+    for t, l in zip(texts, languages, strict=True):
+        if own := [seen.setdefault(w, w) for w in WORD.findall(t.lower())]:
+            by[at[l]].append(own)
     if not size or not any(by):
         return Model([], np.zeros((SLOTS, 0)), np.zeros((0, 0)), np.zeros(0), {})
     counts = [Counter(w for doc in docs for w in doc) for docs in by]
-    overall = sum(counts, Counter())
+    overall = Counter()
+    for c in counts:
+        overall.update(c)
     lexicon: dict[str, list[int]] = {}
     for k, c in enumerate(counts):
         typical = sorted(c, key=lambda w: (-c[w] * c[w] / overall[w], w))[:LEXICON]
@@ -160,10 +171,12 @@ def fit(texts: list[str], languages: list[str], seed: int = 5) -> Model:
     rng = np.random.default_rng(seed)
     have = [k for k in range(size) if by[k]]
     words: dict[str, int] = {}
-    x = np.zeros((WINDOWS, WINDOW), np.int64)
-    y = np.zeros((WINDOWS, WINDOW), np.int64)
-    for r in range(WINDOWS):
-        at, lang = 0, have[rng.integers(len(have))]
+    windows, together = max(WINDOWS, 30 * len(have)), max(1, min(BATCH, 40 * BATCH // size))
+    x = np.zeros((windows, WINDOW), np.int64)
+    y = np.zeros((windows, WINDOW), np.int64)
+    for r in range(windows):
+        # The first languages are a round of all, so that each has windows of its own.
+        at, lang = 0, have[rng.integers(len(have))] if len(have) <= 40 else have[r % len(have)]
         while at < WINDOW:
             doc = by[lang][rng.integers(len(by[lang]))]
             run = min(WINDOW - at, int(rng.integers(4, WINDOW + 1)), len(doc))
@@ -175,11 +188,14 @@ def fit(texts: list[str], languages: list[str], seed: int = 5) -> Model:
     found = [features(w, lexicon) for w in words]
     width = np.array([len(f) for f in found])
     begin = np.concatenate([[0], np.cumsum(width)])
-    flat = np.fromiter((s for f in found for s in f), np.int64)
-    weights, moves, start = np.zeros((SLOTS, size)), np.zeros((size, size)), np.zeros(size)
+    slots_all = SLOTS
+    while slots_all * size > WEIGHTS:
+        slots_all //= 2
+    flat = np.fromiter((s for f in found for s in f), np.int64) % slots_all
+    weights, moves, start = np.zeros((slots_all, size)), np.zeros((size, size)), np.zeros(size)
     square = [np.full_like(p, 1e-8) for p in (weights, moves, start)]
     for epoch in range(EPOCHS):
-        for rows in np.array_split(rng.permutation(WINDOWS), max(1, WINDOWS // BATCH)):
+        for rows in np.array_split(rng.permutation(windows), max(1, windows // together)):
             used, place = np.unique(x[rows], return_inverse=True)
             place = place.reshape(len(rows), WINDOW)
             slots = np.concatenate([flat[begin[w] : begin[w + 1]] for w in used])
@@ -187,9 +203,8 @@ def fit(texts: list[str], languages: list[str], seed: int = 5) -> Model:
             emit = np.add.reduceat(weights[slots], starts, axis=0)[place]
             g_emit, g_moves, g_start = _gradient(emit, moves, start, y[rows])
             by_word = np.stack([np.bincount(place.ravel(), g_emit[:, :, k].ravel(), minlength=len(used)) for k in range(size)], axis=1)
-            spread = np.repeat(by_word, width[used], axis=0)
             touched, back = np.unique(slots, return_inverse=True)
-            g = np.stack([np.bincount(back, spread[:, k], minlength=len(touched)) for k in range(size)], axis=1) + 1e-3 * weights[touched]
+            g = np.stack([np.bincount(back, np.repeat(by_word[:, k], width[used]), minlength=len(touched)) for k in range(size)], axis=1) + 1e-3 * weights[touched]
             square[0][touched] += g * g
             weights[touched] -= 0.2 * g / np.sqrt(square[0][touched])
             for p, grad, s in ((moves, g_moves, square[1]), (start, g_start, square[2])):
@@ -215,18 +230,21 @@ def _gradient(emit: np.ndarray, moves: np.ndarray, start: np.ndarray, y: np.ndar
         backward[:, t] = now / now.sum(axis=1, keepdims=True)
     share = forward * backward
     share /= share.sum(axis=2, keepdims=True)
-    pair = forward[:, :-1, :, None] * m * (e * backward)[:, 1:, None, :]
-    pair /= pair.sum(axis=(2, 3), keepdims=True)
+    after, before = (e * backward)[:, 1:], forward[:, :-1]
+    before = before / ((before @ m) * after).sum(axis=2, keepdims=True)
+    pairs = m * (before.reshape(-1, size).T @ after.reshape(-1, size))  # no array of size by size a word
     gold = np.eye(size)[y]
-    g_moves = (pair.sum(axis=(0, 1)) - np.einsum("nti,ntj->ij", gold[:, :-1], gold[:, 1:])) / n
+    g_moves = (pairs - np.bincount((y[:, :-1] * size + y[:, 1:]).ravel(), minlength=size * size).reshape(size, size)) / n
     return (share - gold) / n, g_moves, (share[:, 0] - gold[:, 0]).sum(axis=0) / n
 
 
 def learn(rows: DataFrame, per_language: int = PER_LANGUAGE, text: str = "text", lang: str = "lang") -> Model:
-    """A model from (text, lang): distinct whole texts by hash, a bounded set a language."""
+    """A model from (text, lang): distinct whole texts by hash, a bounded set of every language."""
     own = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    found = common.hashed_sample(own.join(F.broadcast(counts.select("lang")), "lang"), per_language, "lang")
+    many = own.select("lang").distinct().count()
+    if many > LANGUAGES:
+        raise ValueError(f"{many} languages to learn, {LANGUAGES} are possible; none is dropped in silence")
+    found = common.hashed_sample(own, min(per_language, max(1, TEXTS // max(1, many))), "lang")
     sample = [r for name in sorted(found) for r in found[name]]
     return fit([r["text"] for r in sample], [r["lang"] for r in sample])
 
