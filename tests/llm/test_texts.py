@@ -194,3 +194,25 @@ def test_gradient_of_moves_is_that_of_all_pairs():
     step = 1e-5 * np.eye(9).reshape(9, 3, 3)
     numeric = np.array([(loss(moves + d) - loss(moves - d)) / 2e-5 for d in step]).reshape(3, 3)
     assert np.allclose(language_id._gradient(emit, moves, start, y)[1], numeric, atol=1e-7)
+
+
+def test_the_pipeline_does_what_each_stage_says(spark, tmp_path):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    texts = [" ".join([word() for _ in range(25)] + (["vilest", "rubbish"] if k % 4 == 0 else [])) for k in range(400)]
+    for k in range(1, 400, 40):
+        texts[k] += f" see AKIA{''.join(r.choice('ABCDEFGH12345678') for _ in range(16))} now"
+    texts += [texts[k] for k in (2, 3, 5)] + [texts[6] + " end"] + [None, ""]
+    spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(400)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    want = {k: re.sub("AKIA[A-Z0-9]{16}", "<live-secret>", t or "") for k, t in enumerate(texts) if "vilest" not in (t or "") and k not in (400, 401, 402, 403)}
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    lib = pieces.loaded(pieces.default_model()).library
+    ids = {k: lib.encode(t) for k, t in want.items()}
+    times = {k: sum(x["doc_id"] == k for x in rows) for k in want}
+    assert {x["doc_id"] for x in rows} == set(want) and sum(times.values()) == len(rows)  # documents without words stay, too
+    assert set(times.values()) == {1, 2}
+    size = {k: len(t.split()) for k, t in want.items()}
+    assert abs(sum(size[k] * times[k] for k in want) - 1.5 * sum(size.values())) <= 2 * max(size.values())
+    for x in rows:
+        assert (x["n_tokens"], x["ids_sha256"]) == (len(ids[x["doc_id"]]), hashlib.sha256(",".join(map(str, ids[x["doc_id"]])).encode()).hexdigest())

@@ -1,7 +1,7 @@
 """Toxicity by a counterfactual-regularised classifier.
 
-A logistic model over the distinct words of a text. A word's weight is the sum over its features: the word itself,
-its prefixes and suffixes of four to six letters, and its class among the identity terms. Training minimises log loss
+A logistic model over the distinct words of a text. A word's weight is the sum over its features: the word itself and
+its prefixes and suffixes of four to six letters. Training minimises log loss
 with a sparse (L1) penalty and, for every labelled sentence that has an identity term, the squared difference between its
 score and that of the same sentence with the term swapped for each other term of its set. The swap term pulls the
 weights of all group names together, so a neutral mention costs nothing.
