@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from tidepanel.operators import inference
+from tidepanel.plans import tests_and_ingest
 from tidepanel.sources import news
 
 
@@ -60,6 +61,14 @@ def test_bootstrap_of_groups(spark):
         assert abs(got[d] - (f1(t[at], a[at]) - f1(t[at], b[at]))) < 1e-12
 
 
+def test_registered_bootstrap_takes_the_default_draws(spark, monkeypatch):
+    draws = []
+    real = inference.group_bootstrap
+    monkeypatch.setattr(inference, "group_bootstrap", lambda *a, **k: draws.append((df := real(*a, **k)).count() - 1) or df)
+    monkeypatch.setattr(tests_and_ingest.Q, "judged", lambda s, d: s.range(100).selectExpr("id AS doc_id", "int(id % 2) AS quality", "int(id % 3 = 0) AS long", "id % 5 - 2 AS score"))
+    assert tests_and_ingest.group_bootstrap(spark, "").count() == 1 and draws == [10_000]
+
+
 def test_halves_are_refits(spark):
     data = np.random.default_rng(9).normal(size=(60, 2))
     rows = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(data)], "pos int, z double, y double")

@@ -53,5 +53,5 @@ def halves(spark, sf_dir):
 @query("group_bootstrap")
 def group_bootstrap(spark, sf_dir):
     rows = Q.judged(spark, sf_dir).select("quality", F.col("long"), (F.col("score") > 0).cast("int").alias("up"), (F.col("doc_id") % 50).alias("g"))
-    drawn = inference.group_bootstrap(rows, "quality", "up", "long", "g", [0, 1], 2000)
+    drawn = inference.group_bootstrap(rows, "quality", "up", "long", "g", [0, 1])
     return drawn.agg(F.max(F.when(F.col("draw") < 0, F.col("difference"))).alias("difference"), *[F.expr(f"percentile(CASE WHEN draw >= 0 THEN difference END, {q})").alias(n) for n, q in (("low", 0.025), ("high", 0.975))])
