@@ -47,7 +47,7 @@ def test_token_tables_round_trip(spark, tmp_path):
     df = docs(spark, texts)
     df = df.unionByName(df.where("doc_id < 3")).repartition(3)
     manifest = token_tables.write(df, token_tables.default_tokenizer(), f"file://{tmp_path}/t")
-    rows = sorted(token_tables.read(spark, manifest).collect())
+    rows = sorted(token_tables.read(manifest).collect())
     assert len(rows) == len(texts) + 3
     at = 0
     for r in rows:
@@ -60,6 +60,23 @@ def test_token_tables_round_trip(spark, tmp_path):
     assert sum(len(s.get(5)) for s in shards) == 1 and sum(len(s.get(1)) for s in shards) == 2 and not any(s.get(10**9) for s in shards)
 
 
+def test_words_apart_are_the_whole_text():
+    words = token_tables.Words(token_tables.default_tokenizer())
+    assert words.by_word
+    texts = ["İ!", "aİ. b", "ﬁİ?!", "e\u0301! \u0301!", "'s! it's.", "ß! ŉ. ǰ, ΐ;", "<|endoftext|>! a<|startoftext|>", "각! \u1100\u1161. \u1100\u1161\u11a8!", "x\u0345! ª! º? ⅷ! 𝐀."]
+    texts += noise(20_000, "İIıi\u0307\u0301\u0345éßﬁǅ'\u2019.,!?;:%$&#*sStTmM  \t\u00a0<|endoftext|>1٣中각\u1161ªᾳ", seed=9)
+    for t, e in zip(texts, words.library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(words.checked(t), f"<u{words.width}").tolist() == e.ids
+
+
+def test_token_tables_of_odd_tables(spark, tmp_path):
+    path = token_tables.default_tokenizer()
+    rows = spark.createDataFrame([(None, "null id"), (None, None), (-5, "a b"), (2**40, "x " * 200_000)], "doc_id long, text string").selectExpr("*", "1 AS key", "2 AS _tie", "3 AS _row", "4 AS start")
+    got = sorted(token_tables.read(token_tables.write(rows, path, f"file://{tmp_path}/odd")).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None, None, -5, 2**40] and got[0]["start"] == 0 and got[3]["n_tokens"] == 200_001
+    assert token_tables.read(token_tables.write(rows.limit(0), path, f"file://{tmp_path}/none")).count() == 0
+
+
 def test_secrets(spark):
     key = "AKIA" + "ABCDEFGH12345678"
     own = "d48fd8e940a86f41832370bc4dd81bc9d95bf72b"

@@ -9,7 +9,8 @@ A key is one byte (0: null, 1: otherwise) and the identifier as 8 bytes, big-end
 order is numeric order. A value is the ids, two bytes each if the vocabulary fits, else four.
 
 Shards are written under a name of the attempt and then renamed, so lost executors and repeated tasks leave whole
-files. The driver holds one row a shard.
+files. The manifest is a table of one row a shard; places of documents come from a window over it. A large table gets more
+shards, not larger ones. Every ``WHOLE_EVERY``th text of a task is also encoded whole by the library; a difference stops the job.
 
 Defined cases: null text is empty; a null identifier sorts first; rows that repeat an identifier are entries of
 their own, ordered by md5 of the text; an empty text has the end id alone; an empty table gives no rows; other
@@ -30,7 +31,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidepanel.llm import common
@@ -41,6 +43,10 @@ BITS_A_KEY, HASHES = 10, 7
 FOOTER = struct.Struct("<QQQQQQQB7x8s")
 #: Words a worker remembers in each of two generations.
 REMEMBERED = 450_000
+#: Bytes of input (as the reader estimates them) a shard is made for, and texts of which one is held whole against the library.
+SHARD_BYTES, WHOLE_EVERY = 128 << 20, 500
+#: Shards that an estimate of a table's size may ask for; an estimate of a join can be far too large.
+MOST_SHARDS = 200_000
 WORD = re.compile(r"[^ \t\n\r]+")
 MARKS = ".,!?;:%$&#*"
 #: Fixed value: how the tokenizer's file splits a normalized word.
@@ -193,6 +199,7 @@ class Words:
 
         self.library = Tokenizer.from_file(path)
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
+        self.apart: dict[str, bool] = {}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.ends = np.zeros(self.library.get_vocab_size(), bool)
@@ -218,6 +225,21 @@ class Words:
                 return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
         return self._raw(words)
 
+    def _parts_after(self, letter: str) -> bool:
+        """Whether a mark after this letter is a pre-token of its own, as the library splits it (lower-casing may leave a
+        combining mark behind, which takes the mark along)."""
+        if letter not in self.apart:
+            made = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(f"a{letter}!"))
+            self.apart[letter] = len(made) == 2 and made[1][0] == "!"
+        return self.apart[letter]
+
+    def checked(self, text: str) -> bytes:
+        """As encode, held against the library's ids of the whole text."""
+        ids = self.encode(text)
+        if ids != self._raw([text])[0]:
+            raise ValueError(f"ids by word and of the whole text differ for a text of {len(text)} characters that begins {text[:80]!r}")
+        return ids
+
     def encode(self, text: str) -> bytes:
         if not self.by_word:
             return self._raw([text])[0]
@@ -234,7 +256,7 @@ class Words:
             known.update((w, older[w]) for w in again)
             new -= again
             # Marks at the end of a word that a letter precedes are a pre-token of their own.
-            stems = {w: s for w in new if (s := w.rstrip(MARKS)) and s != w and s[-1].isalpha()}
+            stems = {w: s for w in new if (s := w.rstrip(MARKS)) and s != w and s[-1].isalpha() and (s[-1] < "\x80" or self._parts_after(s[-1]))}
             parts = {*(s for s in stems.values()), *(w[len(s) :] for w, s in stems.items()), *(new - stems.keys())}.difference(known)
             known.update(zip(parts, self._each(list(parts)) if parts else [], strict=True))
             known.update((w, known[s] + known[w[len(s) :]]) for w, s in stems.items())
@@ -260,7 +282,8 @@ def _writer(tokenizer: str, folder: str, end: int | None):
 
         words = loaded(tokenizer)
         tail = b"" if end is None else np.array([end], f"<u{words.width}").tobytes()
-        entries = ((key_bytes(k.as_py()), words.encode(t.as_py() or "") + tail) for b in batches for k, t in zip(b.column("key"), b.column("text"), strict=True))
+        rows = ((k.as_py(), t.as_py() or "") for b in batches for k, t in zip(b.column("key"), b.column("text"), strict=True))
+        entries = ((key_bytes(k), (words.encode if n % WHOLE_EVERY else words.checked)(t) + tail) for n, (k, t) in enumerate(rows))
         first = next(entries, None)
         if first is None:
             return
@@ -288,40 +311,35 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end: int | None = 2, key
     # The row number splits even an identifier that many rows repeat.
     read = read.withColumn("_tie", F.md5(F.col("text").cast("binary"))).withColumn("_row", F.monotonically_increasing_id())
     order = [F.col("key").asc_nulls_first(), "_tie", "_row"]
-    dealt = read.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "text")
+    size = int(str(read._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_SHARDS, -(-size // SHARD_BYTES)))
+    dealt = read.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("key", "text")
     return common.saved(dealt.mapInArrow(_writer(tokenizer, folder, end), MANIFEST), "token-manifest")
 
 
 ROWS = "key bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
-def _reader(shards: list[tuple[str, int]]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "start", "n_tokens", "ids_crc32"]
-        for batch in batches:
-            for n in batch.column(0).to_pylist():
-                path, start = shards[n]
-                rows: tuple[list, ...] = ([], [], [], [])
-                for key, ids in Shard(path):
-                    for column, value in zip(rows, (key, start, len(ids), zlib.crc32(ids.tobytes())), strict=True):
-                        column.append(value)
-                    start += len(ids)
-                    if len(rows[0]) >= 10_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], names=names)
-                        rows = ([], [], [], [])
-                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], names=names)
-
-    return run
+def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["key", "start", "n_tokens", "ids_crc32"]
+    for batch in batches:
+        for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
+            rows: tuple[list, ...] = ([], [], [], [])
+            for key, ids in Shard(path):
+                for column, value in zip(rows, (key, start, len(ids), zlib.crc32(ids.tobytes())), strict=True):
+                    column.append(value)
+                start += len(ids)
+                if len(rows[0]) >= 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], names=names)
+                    rows = ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], names=names)
 
 
-def read(spark: SparkSession, manifest: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Every document of the shards: key, start (ids of all before it), n_tokens, ids_crc32."""
-    shards, start = [], 0
-    for row in sorted(manifest.collect(), key=lambda r: (bytes(r["first"]), bytes(r["last"]), r["path"])):
-        shards.append((row["path"], start))
-        start += row["ids"]
-    n = max(1, len(shards))
-    return spark.range(0, len(shards), 1, n).mapInArrow(_reader(shards), ROWS).withColumnRenamed("key", key)
+def read(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Every document of the shards: key, start (ids of all before it), n_tokens, ids_crc32. The window has one row a shard."""
+    before = W.orderBy("first", "last", "path").rowsBetween(W.unboundedPreceding, -1)
+    placed = manifest.select("path", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("start"))
+    return placed.repartition(max(1, manifest.count())).mapInArrow(_reader, ROWS).withColumnRenamed("key", key)
 
 
 def default_tokenizer() -> str:
@@ -333,4 +351,4 @@ def default_tokenizer() -> str:
 def op5_token_tables(spark, sf_dir: str) -> DataFrame:
     folder = common.fresh_path(spark, "token-tables")
     manifest = write(common.table(spark, sf_dir, "documents"), default_tokenizer(), folder)
-    return read(spark, manifest)
+    return read(manifest)
