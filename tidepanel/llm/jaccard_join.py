@@ -18,7 +18,10 @@ What is joined:
    products of incidence matrices, which give back spanning forests and no pairs.
 
 So no link between different texts is lost, a group of thousands of near copies costs its size and not its
-square, and lists are never gathered: they are equi-joins, which adaptive execution may split.
+square, and lists are never gathered: they are equi-joins. A token in very many prefixes, and a document that very many
+candidates share, are dealt over salts (``HOT_LIST`` rows each, or more in proportion to a large table, so salted keys stay few enough to broadcast).
+
+Tables written on the way are deleted once the result is written.
 
 Defined cases: null text or no words give an empty set, linked with nothing; fewer words than a shingle count as one
 shingle; rows that repeat an identifier with different texts are nodes of their own and share no link by that;
@@ -50,6 +53,8 @@ FAN = 32
 ROUNDS, GROUP, BEST = 1, 8, 2
 #: Open lists longer than HOT are compared in blocks of BLOCK members; columns of a block's matrix that are multiplied at once.
 HOT, BLOCK, COLUMNS = 128, 256, 4096
+#: Rows of a token, or candidates of a document, that one task of a join takes at most.
+HOT_LIST = 1000
 
 
 def _trim(run):
@@ -224,18 +229,18 @@ def _block_links(percent: int):
     return run
 
 
-def with_nodes(rows: DataFrame) -> DataFrame:
-    """rows(key, text, ...) with node: the key, but for keys that are null, negative or repeat a hash of key and text, below 0."""
+def with_nodes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows(key, text, ...) with node: the key, but for keys that are null, negative or repeat a hash of key and text, below 0. And a table it reads."""
     again = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 OR key IS NULL OR key < 0")
     again = common.saved(again.select(F.col("key").alias("_again")), "repeated-keys")
     if again.limit(1).count() == 0:
-        return rows.withColumn("node", F.col("key"))
+        return rows.withColumn("node", F.col("key")), again
     own = -(F.xxhash64("key", "text").bitwiseAND(F.lit(2**62 - 1))) - 1
     odd = F.col("key").eqNullSafe(F.col("_again"))
     return (
         rows.join(common.small(again), odd, "left_semi").withColumn("node", own)
         .unionByName(rows.join(common.small(again), odd, "left_anti").withColumn("node", F.col("key")))
-    )
+    ), again
 
 
 class Join:
@@ -243,7 +248,7 @@ class Join:
 
     def __init__(self, docs: DataFrame, words: int, percent: int, key: str = "doc_id", text: str = "text"):
         self.words, self.percent = words, percent
-        self.docs = with_nodes(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")))
+        self.docs, _ = with_nodes(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")))
         first = common.saved(
             self.docs.mapInArrow(_trim(_first_pass(words)), "node bigint, key bigint, n bigint, set_key binary, task bigint, piece int, counts binary"), "shingle-sets"
         )
@@ -265,8 +270,10 @@ class Join:
         pairs = common.saved(pairs.select("a", "b").distinct(), "pairs")
         wanted = common.saved(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
         made = self._sets_of(wanted)
-        left = pairs.join(made.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
-        whole = left.join(made.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb")
+        hot_a, hot_b = (common.salts(pairs, c, HOT_LIST) for c in "ab")
+        one, two = (made.select(F.col("node").alias(c), F.col("set").alias(f"s{c}")) for c in "ab")
+        left = common.dealt(pairs, "a", hot_a, "b").join(common.copied(one, "a", hot_a), ["a", "salt"]).drop("salt")
+        whole = common.dealt(left, "b", hot_b, "a").join(common.copied(two, "b", hot_b), ["b", "salt"]).select("a", "b", "sa", "sb")
         hits = common.saved(whole.mapInArrow(_trim(_verify(self.percent)), "a bigint, b bigint, hit boolean"), "verified")
         return hits.where("hit").select("a", "b")
 
@@ -279,7 +286,11 @@ class Join:
             return self.links
         rows = self._prefix_rows()
         lists = rows.groupBy("token").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("n", "node")).alias("_lead")).where("_n > 1")
-        met = common.saved(rows.join(lists.select("token", F.col("_lead.node").alias("lead"), F.col("_lead.n").alias("lead_n")), "token"), "shared-prefixes")
+        lists = common.saved(lists.select("token", "_n", F.col("_lead.node").alias("lead"), F.col("_lead.n").alias("lead_n")), "lists")
+        per = max(HOT_LIST, -(-rows.count() // common.HOT_KEYS))  # so fewer than HOT_KEYS tokens are hot
+        heavy = lists.where(F.col("_n") > per).select("token", F.ceil(F.col("_n") / per).cast("int").alias("salts"))
+        led = common.copied(lists.drop("_n"), "token", heavy)
+        met = common.saved(common.dealt(rows, "token", heavy, "node").join(led, ["token", "salt"]).drop("salt"), "shared-prefixes")
         edges = self._star(met)
         labels = graphs.components(edges)
         open_ = self._labelled(met.drop("lead", "lead_n"), labels)
@@ -291,7 +302,7 @@ class Join:
             labels = graphs.components(edges)
             open_ = self._labelled(open_.drop("comp"), labels)
         rest = self._rest(open_)
-        self.links = common.saved(graphs.components(edges.unionByName(rest)), "components") if rest.limit(1).count() else labels
+        self.links = graphs.components(edges.unionByName(rest)) if rest.limit(1).count() else labels
         return self.links
 
     def _star(self, met: DataFrame) -> DataFrame:
@@ -380,19 +391,25 @@ class Join:
 
 def join(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles and component_id of every document."""
-    found = Join(docs, words, percent, key, text).labelled()
-    return found.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_least", "key").alias("component_id"))
+    with common.Scratch(docs.sparkSession) as scratch:
+        found = Join(docs, words, percent, key, text).labelled()
+        found = found.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_least", "key").alias("component_id"))
+        out = common.saved(found, "document-components")
+        scratch.keep(out)
+        return out
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each component, the one with the smallest node; documents without words all stay."""
-    made = Join(docs, words, percent, key, text)
-    drop = common.saved(made.labelled().where("comp IS NOT NULL AND node <> comp").select("node").distinct(), "dropped")
-    rows = with_nodes(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).cast("long").alias("key"), F.col(text).alias("text")))
-    kept = rows.join(common.small(drop), "node", "left_anti")
-    if made.repeats:  # rows that repeat key and text are one node
-        kept = kept.where("node >= 0").unionByName(kept.where("node < 0").dropDuplicates(["node"]))
-    return kept.select("row.*")
+    with common.Scratch(docs.sparkSession) as scratch:
+        made = Join(docs, words, percent, key, text)
+        drop = common.saved(made.labelled().where("comp IS NOT NULL AND node <> comp").select("node").distinct(), "dropped")
+        rows, again = with_nodes(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).cast("long").alias("key"), F.col(text).alias("text")))
+        kept = rows.join(common.small(drop), "node", "left_anti")
+        if made.repeats:  # rows that repeat key and text are one node
+            kept = kept.where("node >= 0").unionByName(kept.where("node < 0").dropDuplicates(["node"]))
+        scratch.keep(drop, again)
+        return kept.select("row.*")
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -252,23 +252,19 @@ def learn(rows: DataFrame, per_language: int = PER_LANGUAGE, text: str = "text",
 def _labeller(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for whole in batches:
-            for low in range(0, whole.num_rows, 500):
-                batch = whole.slice(low, 500)
-                found = model.shares(batch.column("_text").to_pylist())
-                keep = [c for c in batch.schema.names if c != "_text"]
-                yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(c) for c in keep], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*keep, "lang_pred", "score"]
-                )
+        for batch in batches:
+            found = model.shares(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["row", "lang_pred", "score"])
 
     return run
 
 
 def label(docs: DataFrame, model: Model, keep: list[Column], text: str = "text") -> DataFrame:
-    """The kept columns, lang_pred and score. The model that is broadcast has SLOTS weights a language."""
-    read = docs.select(*keep, F.col(text).alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields if f.name != "_text")
-    return read.mapInArrow(_labeller(docs.sparkSession.sparkContext.broadcast(model)), f"{kinds}, lang_pred string, score double")
+    """The kept columns, lang_pred and score. The model that is broadcast has at most SLOTS weights a language, and WEIGHTS in all."""
+    read = docs.select(F.struct(*keep).alias("row"), F.col(text).alias("text"))
+    row = read.schema["row"].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return read.mapInArrow(common.sparing(_labeller(shared)), f"row {row}, lang_pred string, score double").select("row.*", "lang_pred", "score")
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:

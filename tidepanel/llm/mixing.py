@@ -12,7 +12,8 @@ one row a source.
 
 Defined cases: null text has size 0 and is taken 0 times its words; a null source is a source of its own, last
 in order; rows that repeat entirely fall into one bucket and share their fate; an empty table gives no rows; sources of
-size 0 get target 0. Other columns pass through untouched, whatever their names.
+size 0 get target 0. Other columns pass through untouched, whatever their names: the struct that ``mix`` adds is called
+``mix_``, with more underscores if docs has such a column.
 """
 
 from __future__ import annotations
@@ -25,8 +26,6 @@ from tidepanel.llm import common
 
 #: Hash buckets a source's documents fall into for the fractional repetition.
 BUCKETS = 4096
-#: Sources that a broadcast may hold.
-BROADCAST_SOURCES = 1_000_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -105,34 +104,32 @@ def mix(
     key: str = "doc_id",
 ) -> DataFrame:
     """docs with the struct column mix_: size, source_size, target, times (how often the mix takes the document)."""
-    sized = docs.withColumn(
-        "mix_",
-        F.struct(
-            word_count(F.col(text)).alias("size"),
-            (common.md5_unit(F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit("")))
-             % BUCKETS).cast("int").alias("bucket"),
-        ),
+    mixed = _mixed(docs, weights, share, max_epochs, seed, source, text, key)
+    return mixed.select("row.*", F.col("mix").alias(common.free_name("mix_", docs.columns)))
+
+
+def _mixed(docs: DataFrame, weights, share: float, max_epochs: float, seed: int, source: str, text: str, key: str) -> DataFrame:
+    """row (all of docs' columns) and mix."""
+    bucket = common.md5_unit(F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit(""))) % BUCKETS
+    sized = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source).alias("source"),
+        word_count(F.col(text)).alias("size"), bucket.cast("int").alias("bucket"),
     )
-    thin = sized.select(F.col(source).alias("source"), "mix_.size", "mix_.bucket")
-    cuts = common.small(plan(thin, weights, share, max_epochs), BROADCAST_SOURCES).select(F.struct("*").alias("_plan"))
-    joined = sized.join(cuts, F.col(source).eqNullSafe(F.col("_plan.source")), "left")
-    times = F.col("_plan._whole") + (F.col("mix_.bucket") <= F.col("_plan._cut")).cast("long")
-    return joined.withColumn(
-        "mix_",
-        F.struct(
-            F.col("mix_.size").alias("size"),
-            F.col("_plan.source_size").alias("source_size"),
-            F.col("_plan.target").alias("target"),
-            times.cast("long").alias("times"),
-        ),
-    ).drop("_plan")
-
-
-def repeated(docs: DataFrame, **options) -> DataFrame:
+    with common.Scratch(docs.sparkSession) as scratch:
+        cuts = plan(sized.select("source", "size", "bucket"), weights, share, max_epochs)
+        scratch.keep(cuts)
+    joined = sized.join(common.small(cuts.withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source")), "left")
+    times = F.col("_whole") + (F.col("bucket") <= F.col("_cut")).cast("long")
+    return joined.select("row", F.struct("size", "source_size", "target", times.cast("long").alias("times")).alias("mix"))
+
+
+def repeated(
+    docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 17,
+    source: str = "source", text: str = "text", key: str = "doc_id",
+) -> DataFrame:
     """The mix itself: each document as many times as it is taken, in docs' own columns."""
-    cols = docs.columns
-    copies = F.explode(F.array_repeat(F.lit(0), F.col("mix_.times").cast("int")))
-    return mix(docs, **options).withColumn("_copy", copies).select(*[F.col(f"`{c}`") for c in cols])
+    mixed = _mixed(docs, weights, share, max_epochs, seed, source, text, key)
+    return mixed.select("row", F.explode(F.array_repeat(F.lit(0), F.col("mix.times").cast("int")))).select("row.*")
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

@@ -2,16 +2,17 @@
 
 Every text gives base spans (assignments, access keys, long hex runs) and further candidates: bare tokens that look
 random. The hash of each candidate's value is counted over the whole corpus by distinct owners and distinct
-repositories (an owner's repository). A value that many owners hold is a copied example; one that few owners hold
-and that looks random is live-looking. Bare candidates become spans only if they are live-looking; base spans stay
+repositories (an owner's repository). A value that many owners hold, or that many repositories hold even of one owner, is a copied
+example; one that few of either hold and that looks random is live-looking. Bare candidates become spans only if they are live-looking; base spans stay
 in any case and get their label.
 
 Counting is by (hash, owner, repository) first, so a value that a third of the corpus copies is
-pre-aggregated before it meets in one place; labels return by an equi-join which adaptive execution may split.
+pre-aggregated before it meets in one place. Labels return to spans by a join that deals the spans of a frequent value over
+salts; only documents with spans take part in it, and each is put together again by a number of its own, so copies of a text never meet in one task.
 
 Defined cases: null text counts as empty and has no spans; a null owner is one owner, a null repository one
 repository; rows that repeat have the same spans and count once an (owner, repository); an empty table gives no
-rows; other columns are not touched.
+rows; other columns are not touched, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,8 +31,8 @@ from pyspark.sql import functions as F
 from tidepanel.llm import common
 
 KINDS = ("assign", "access", "hex", "bare")
-#: Owners from which on a value is a copied example.
-COPIED_OWNERS = 3
+#: Owners, and repositories, from which on a value is a copied example.
+COPIED_OWNERS, COPIED_REPOSITORIES = 3, 10
 #: Bits a character that a live-looking value has at least.
 LIVE_BITS = 2.5
 
@@ -65,12 +68,14 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def bare_spans(text: str, base: list) -> list[tuple[int, int, int, str]]:
-    """Tokens that look random and overlap no base span."""
-    return [
-        (3, m.start(), m.end(), m[0])
-        for m in BARE.finditer(text)
-        if looks_random(m[0]) and not any(s[1] < m.end() and m.start() < s[2] for s in base)
-    ]
+    """Tokens that look random and overlap no base span (which come by start)."""
+    starts, furthest = [x[1] for x in base], list(accumulate((x[2] for x in base), max))
+
+    def free(m: re.Match) -> bool:
+        before = bisect_left(starts, m.end())
+        return not before or furthest[before - 1] <= m.start()
+
+    return [(3, m.start(), m.end(), m[0]) for m in BARE.finditer(text) if free(m) and looks_random(m[0])]
 
 
 def joined(spans) -> str:
@@ -90,7 +95,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 {"kind": k, "start": a, "stop": b, "hash": hashlib.blake2b(v.encode(), digest_size=16).hexdigest(), "random": k == 3 or looks_random(v)}
                 for k, a, b, v in base + bare_spans(text, base)
             ])
-        keep = [c for c in batch.schema.names if c != "text"]
+        keep = batch.schema.names
         yield pa.RecordBatch.from_arrays(
             [batch.column(c) for c in keep] + [pa.array(c, pa.int64()) for c in counts] + [pa.array(digests, pa.string()), pa.array(out, pa.list_(SPAN))],
             names=[*keep, "n_assign", "n_access", "n_hex", "base_sha256", "found"],
@@ -104,34 +109,49 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("_repositories").alias("repositories"))
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", repository: str = "doc_id", copied_owners: int = COPIED_OWNERS) -> DataFrame:
-    """One row a document: key, text_key (md5 of the text), n_assign, n_access, n_hex, base_sha256, labelled.
+FOUND = f"n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, found {SPAN_DDL}"
+COUNTED = ("n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _extract(batches):
+        yield batch.drop_columns(["text"])
+
+
+def labelled(found: DataFrame, keep: list[str], copied_owners: int, copied_repositories: int) -> DataFrame:
+    """(Saved) found(owner, repository, found, *keep) with labelled instead: spans in order (start, kind, stop, label, owners, repositories).
 
-    labelled: spans in order (kind, start, stop, label), label in copied, live, other; base spans all, bare only
-    if live.
+    label is copied, live or other; base spans all, bare only if live. Null for rows without spans.
     """
-    whole = F.coalesce(F.col(text), F.lit(""))
+    some = found.where(F.size("found") > 0).select("owner", "repository", "found", *keep).withColumn("at", F.monotonically_increasing_id())
+    some = common.saved(some, "with-secrets")
+    stats = ownership(some.select(F.explode("found.hash").alias("hash"), "owner", "repository"))
+    label = F.when((F.col("owners") >= copied_owners) | (F.col("repositories") >= copied_repositories), "copied")
+    stats = common.saved(stats.withColumn("label", label), "ownership")
+    spans = common.saved(some.select("at", F.explode("found").alias("s")).select("at", "s.*"), "spans")
+    named = common.salted_join(spans, stats, "hash", "at").withColumn("label", F.coalesce("label", F.when(F.col("random"), "live").otherwise("other")))
+    kept = named.where((F.col("kind") < 3) | (F.col("label") == "live"))
+    own = kept.groupBy("at").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "stop", "label", "owners", "repositories"))).alias("labelled"))
+    with_spans = some.select("at", *keep).join(own, "at", "left").drop("at")
+    kind = own.schema["labelled"].dataType
+    return found.where(F.size("found") == 0).select(*keep, F.lit(None).cast(kind).alias("labelled")).unionByName(with_spans)
+
+
+def scan(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", repository: str = "doc_id",
+    copied_owners: int = COPIED_OWNERS, copied_repositories: int = COPIED_REPOSITORIES,
+) -> DataFrame:
+    """One row a document: key, n_assign, n_access, n_hex, base_sha256, labelled (see there)."""
     read = docs.select(
         F.col(key).alias("key"), F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"),
-        F.md5(whole.cast("binary")).alias("text_key"), whole.alias("text"),
+        F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
     kind = dict(read.dtypes)["key"]
-    thin = common.saved(
-        read.mapInArrow(common.sparing(_extract), f"key {kind}, owner string, repository string, text_key string, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, found {SPAN_DDL}"),
-        "secret-spans",
-    )
-    some = thin.where(F.size("found") > 0)
-    stats = ownership(some.select(F.explode("found.hash").alias("hash"), "owner", "repository"))
-    spans = some.groupBy("text_key").agg(F.first("found").alias("found")).select("text_key", F.explode("found").alias("s"))
-    label = F.when(F.col("owners") >= copied_owners, "copied").when(F.col("s.random"), "live").otherwise("other")
-    labelled = (
-        spans.join(stats, F.col("s.hash") == F.col("hash"))
-        .withColumn("label", label)
-        .where((F.col("s.kind") < 3) | (F.col("label") == "live"))
-        .select("text_key", F.struct("s.start", "s.kind", "s.stop", "label", "owners", "repositories").alias("s"))
-    )
-    by_text = labelled.groupBy("text_key").agg(F.sort_array(F.collect_list("s")).alias("labelled"))
-    return thin.drop("found", "owner", "repository").join(by_text, "text_key", "left").withColumnRenamed("key", key)
+    with common.Scratch(docs.sparkSession) as scratch:
+        thin = common.saved(read.mapInArrow(common.sparing(_thin), f"key {kind}, owner string, repository string, {FOUND}"), "secret-spans")
+        out = common.saved(labelled(thin, ["key", *COUNTED], copied_owners, copied_repositories), "secrets")
+        scratch.keep(out)
+        return out.withColumnRenamed("key", key)
 
 
 def span_string(labelled) -> F.Column:
@@ -143,7 +163,7 @@ def span_string(labelled) -> F.Column:
 def _mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
-        for value, spans in zip(batch.column("_text"), batch.column("_spans"), strict=True):
+        for value, spans in zip(batch.column("text"), batch.column("labelled"), strict=True):
             text, spans = value.as_py(), spans.as_py()
             if text is not None and spans:
                 parts, at = [], 0
@@ -153,20 +173,26 @@ def _mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         at = s["stop"]
                 text = "".join([*parts, text[at:]])
             texts.append(text)
-        keep = [c for c in batch.schema.names if c not in ("_text", "_spans")]
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(texts, pa.string())], names=[*keep, "_text"])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
 
 
-def redact(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """docs with every span replaced by its label; columns and their order stay."""
-    found = scan(docs, text=text, **options).where(F.size("labelled") > 0).groupBy("text_key").agg(F.first("labelled").alias("_spans"))
-    found = common.small(common.saved(found, "secret-labels"))
+def redact(
+    docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id",
+    copied_owners: int = COPIED_OWNERS, copied_repositories: int = COPIED_REPOSITORIES,
+) -> DataFrame:
+    """docs with every span replaced by its label; columns and their order stay. Documents without spans go through no join."""
     cols = docs.columns
-    key = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    with_spans = docs.withColumn("_key", key).join(found.withColumnRenamed("text_key", "_key"), "_key", "left").drop("_key")
-    packed = with_spans.select(F.struct(*[c for c in cols if c != text]).alias("_row"), F.col(text).alias("_text"), "_spans")
-    rows = packed.select("_row").schema["_row"].dataType.simpleString()
-    return packed.mapInArrow(common.sparing(_mask), f"_row {rows}, _text string").select(*[F.col("_text").alias(text) if c == text else F.col(f"_row.`{c}`") for c in cols])
+    others = [F.col(f"`{c}`") for c in cols if c != text] or [F.lit(0).alias("none")]
+    read = docs.select(
+        F.struct(*others).alias("row"), F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), F.col(text).alias("text")
+    )
+    row = read.schema["row"].dataType.simpleString()
+    with common.Scratch(docs.sparkSession) as scratch:
+        found = common.saved(read.mapInArrow(common.sparing(_extract), f"row {row}, owner string, repository string, text string, {FOUND}"), "texts-with-spans")
+        both = common.saved(labelled(found, ["row", "text"], copied_owners, copied_repositories), "texts-with-labels")
+        scratch.keep(both)
+    masked = both.mapInArrow(common.sparing(_mask), f"row {row}, text string")
+    return masked.select(*[F.col("text").alias(text) if c == text else F.col(f"row.`{c}`") for c in cols])
 
 
 def op9_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 import numpy as np
 
 #: Bytes of text that are hashed together.
 CHUNK = 1 << 19
+#: Bytes from which on a word is hashed by blake2b: sums modulo 2^64 of long words can be made to meet.
+LONG_WORD = 256
 _RNG = np.random.default_rng(20240607)
 _TABLE = _RNG.integers(0, 2**64, 256, np.uint64) | np.uint64(1)
 _P = 0x9E3779B97F4A7C15 | 1
@@ -29,15 +34,42 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+_BLANK = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def _pieces(raw: bytes):
+    """The bytes in pieces of about CHUNK that end behind a word."""
+    low = 0
+    while low < len(raw):
+        found = _BLANK.search(raw, low + CHUNK)
+        high = found.end() if found else len(raw)
+        yield low, raw[low:high]
+        low = high
+
+
 def _words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hash and start of every word [^\\x20\\x09-\\x0D]+ of lower-cased bytes."""
-    data = np.frombuffer(raw, np.uint8)
-    blank = np.concatenate([[True], (data == 32) | ((data >= 9) & (data <= 13)), [True]])
-    edge = np.flatnonzero(blank[1:] != blank[:-1])
-    start, stop = edge[::2], edge[1::2]
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * _powers(_P, len(data)), out=sums[1:])
-    return mix((sums[stop] - sums[start]) * _powers(_INVERSE, len(data) + 1)[start]), start
+    hashes, starts = [], []
+    for low, part in _pieces(raw):
+        data = np.frombuffer(part, np.uint8)
+        blank = np.concatenate([[True], (data == 32) | ((data >= 9) & (data <= 13)), [True]])
+        edge = np.flatnonzero(blank[1:] != blank[:-1])
+        start, stop = edge[::2], edge[1::2]
+        long_ = np.flatnonzero(stop - start > LONG_WORD)
+        if len(data) <= 2 * CHUNK:
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(_TABLE[data] * _powers(_P, len(data)), out=sums[1:])
+            found = mix((sums[stop] - sums[start]) * _powers(_INVERSE, len(data) + 1)[start])
+        else:  # one word is longer than a piece: the others are hashed apart
+            found = np.zeros(len(start), np.uint64)
+            for k in np.setdiff1d(np.arange(len(start)), long_):
+                own = data[start[k] : stop[k]]
+                found[k] = mix(np.array([(_TABLE[own] * _powers(_P, len(own))).sum(dtype=np.uint64)]))[0]
+        for k in long_.tolist():
+            found[k] = int.from_bytes(hashlib.blake2b(part[start[k] : stop[k]], digest_size=8).digest(), "little")
+        hashes.append(found)
+        starts.append(start + low)
+    return np.concatenate(hashes) if hashes else np.array([], np.uint64), np.concatenate(starts) if starts else np.array([], np.int64)
 
 
 def _combined(words: list[np.ndarray]) -> np.ndarray:

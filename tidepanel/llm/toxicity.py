@@ -1,17 +1,20 @@
 """Toxicity by a counterfactual-regularised classifier.
 
 A logistic model over the distinct words of a text. A word's weight is the sum over its features: the word itself and
-its prefixes and suffixes of four to six letters. Training minimises log loss
-with a sparse (L1) penalty and, for every labelled sentence that has an identity term, the squared difference between its
-score and that of the same sentence with the term swapped for each other term of its set. The swap term pulls the
-weights of all group names together, so a neutral mention costs nothing.
+its prefixes and suffixes of four to six letters. Training minimises log loss with a sparse (L1) penalty and, for every labelled
+text that has an identity term, the squared difference between its score and that of the same text with the term swapped for each other term of
+its set. The swap term pulls the weights of all terms of a set together, so a neutral mention costs nothing.
+
+Terms that may stand for one another are declared (``IDENTITY_TERMS``, or a caller's sets). Where fewer than ``LEAST_MENTIONS`` of the sampled texts
+hold any (invented or unforeseen languages), sets of mentions are found in the sample itself: words about as frequent in texts of label 1 as in others,
+put together with those that occur beside them (``mentions``).
 
 Labels come from a bounded sample: at most ``PER_LABEL`` whole texts of each label, chosen by hash and reweighted to
-the labels' shares. Scoring takes whole texts, one pass, no shuffle; word weights are remembered by each worker.
+the labels' shares (see ``common.hashed_sample`` for its bytes). Scoring takes whole texts, one pass, no shuffle; word weights are remembered by each worker.
 
 Defined cases: null and empty texts have no words and score as the intercept says; a document without label teaches
 nothing; with no labels or one class the score is the share of label 1 (0 without labels); rows that repeat score alike;
-an empty table gives no rows; other columns are not touched.
+an empty table gives no rows; other columns are not touched, whatever their names.
 """
 
 from __future__ import annotations
@@ -49,7 +52,8 @@ IDENTITY_TERMS = (
     ("frauen", "männer"), ("femmes", "hommes"), ("mujeres", "hombres"),
     ("juden", "christen", "muslime"), ("juifs", "chrétiens", "musulmans"), ("judíos", "cristianos", "musulmanes"),
 )
-SET_OF = {term: k for k, terms in enumerate(IDENTITY_TERMS) for term in terms}
+#: Sampled texts that must hold declared terms, else sets are found; sets found, terms of each, and texts of either label that a found term is in.
+LEAST_MENTIONS, FOUND_SETS, FOUND_TERMS, FOUND_TEXTS = 20, 40, 4, 8
 
 
 def slot(feature: str) -> int:
@@ -97,7 +101,49 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def fit(texts: list[str | None], labels: list[int], share: float, l1: float = 2e-4, swap: float = 1.0, rounds: int = 150, least: int = 3) -> Model:
+def mentions(texts: list[set[str]], y: np.ndarray) -> list[tuple[str, ...]]:
+    """Sets of words that tell nothing of the label: within a quarter as frequent in either kind of text, and found beside one another."""
+    held: dict[str, list[int]] = {}
+    for k, own in enumerate(texts):
+        for w in own:
+            held.setdefault(w, []).append(k)
+    ones = max(1, int(y.sum()))
+    rest, neutral = max(1, len(y) - ones), []
+    for w, where in held.items():
+        hit = int(y[where].sum())
+        if min(hit, len(where) - hit) >= FOUND_TEXTS and 0.75 <= (hit / ones) / ((len(where) - hit) / rest) <= 1.25:
+            neutral.append((-len(where), w))
+    neutral = [w for _, w in sorted(neutral)[: FOUND_SETS * FOUND_TERMS * 2]]
+    sets, left = [], dict.fromkeys(neutral)
+    while left and len(sets) < FOUND_SETS:
+        seed = next(iter(left))
+        own = set(held[seed])
+        near = sorted(((-len(own & set(held[w])) / len(own | set(held[w])), w) for w in left if w != seed))[: FOUND_TERMS - 1]
+        sets.append((seed, *(w for _, w in near)))
+        for w in sets[-1]:
+            del left[w]
+    return [x for x in sets if len(x) > 1]
+
+
+def swapped(texts: list[set[str]], sets) -> dict[tuple[str, str], int]:
+    """How many texts hold a term and not the other of its set that may stand for it."""
+    set_of: dict[str, list[int]] = {}
+    for k, terms in enumerate(sets):
+        for t in terms:
+            set_of.setdefault(t, []).append(k)
+    out: dict[tuple[str, str], int] = {}
+    for own in texts:
+        for term in own & set_of.keys():
+            for k in set_of[term]:
+                for other in sets[k]:
+                    if other not in own:
+                        out[term, other] = out.get((term, other), 0) + 1
+    return out
+
+
+def fit(
+    texts: list[str | None], labels: list[int], share: float, l1: float = 2e-4, swap: float = 1.0, rounds: int = 150, least: int = 3, terms=IDENTITY_TERMS
+) -> Model:
     """Proximal gradient with momentum. share: of label 1 among all labelled rows; least: texts a feature is in at least."""
     y = np.array(labels, np.float64)
     if not len(y) or y.min() == y.max():
@@ -115,12 +161,10 @@ def fit(texts: list[str | None], labels: list[int], share: float, l1: float = 2e
 
     own_words = [words(t) for t in texts]
     rows = [row(o) for o in own_words]
-    swaps = []  # (sentence, counterfactual)
-    for o in own_words:
-        for term in sorted(o & SET_OF.keys()):
-            for other in IDENTITY_TERMS[SET_OF[term]]:
-                if other not in o:
-                    swaps.append((row(o), row(o - {term} | {other})))
+    declared = {t for own in terms for t in own}
+    if sum(not own.isdisjoint(declared) for own in own_words) < LEAST_MENTIONS:
+        terms = [*terms, *mentions(own_words, y)]
+    swaps = swapped(own_words, terms)
     held = np.bincount(np.concatenate([r[0] for r in rows]), minlength=SLOTS)
     used = np.flatnonzero(held >= least)
     place = np.full(SLOTS, -1, np.int64)
@@ -135,7 +179,12 @@ def fit(texts: list[str | None], labels: list[int], share: float, l1: float = 2e
 
     r, c, v = matrix(rows)
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean())) / len(y)
-    pairs = [matrix([x[k] for x in swaps]) for k in (0, 1)] if swaps else []
+    pairs = []  # a swap changes a score by the weights of its two words alone: columns, their signs, texts
+    for (term, other), times in sorted(swaps.items()):
+        change = np.bincount(place[features(term)] + 1, minlength=len(used) + 1) - np.bincount(place[features(other)] + 1, minlength=len(used) + 1)
+        cols = np.flatnonzero(change[1:])
+        if len(cols):
+            pairs.append((cols, change[1:][cols].astype(np.float64), times))
     del rows, index, own_words
     # A step for each feature by its own curvature: sums of squares, and length of the longest rows.
     w, b = np.zeros(len(used)), float(np.log(share / (1 - share)))
@@ -149,7 +198,7 @@ def fit(texts: list[str | None], labels: list[int], share: float, l1: float = 2e
         new = ahead - grad / curve
         new = np.sign(new) * np.maximum(np.abs(new) - l1 / curve, 0)
         if pairs:
-            new = _swap_step(new, pairs, len(swaps), swap)
+            new = _swap_step(new, pairs, swap)
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead, w, t = new + (t - 1) / nt * (new - w), new, nt
         b -= gap.sum() / (0.25 * weight.sum())
@@ -157,19 +206,12 @@ def fit(texts: list[str | None], labels: list[int], share: float, l1: float = 2e
     return Model(float(b), used[keep], w[keep])
 
 
-def _swap_step(w: np.ndarray, pairs: list, n: int, strength: float) -> np.ndarray:
-    """Minimise half the squared distance to w plus strength/2 times each pair's squared score difference, pair by pair."""
-    (r0, c0, v0), (r1, c1, v1) = pairs
-    at0, at1 = np.searchsorted(r0, np.arange(n + 1)), np.searchsorted(r1, np.arange(n + 1))
+def _swap_step(w: np.ndarray, pairs: list, strength: float) -> np.ndarray:
+    """Minimise half the squared distance to w plus strength/2 times each text's squared score change, swap by swap."""
     w = w.copy()
-    for k in range(n):
-        cols = np.concatenate([c0[at0[k] : at0[k + 1]], c1[at1[k] : at1[k + 1]]])
-        vals = np.concatenate([v0[at0[k] : at0[k + 1]], -v1[at1[k] : at1[k + 1]]])
-        cols, inverse = np.unique(cols, return_inverse=True)
-        vals = np.bincount(inverse, vals, minlength=len(cols))
-        size = vals @ vals
-        if size:
-            w[cols] -= strength * (vals @ w[cols]) / (1 + strength * size) * vals
+    for cols, vals, times in pairs:
+        by = strength * times
+        w[cols] -= by * (vals @ w[cols]) / (1 + by * (vals @ vals)) * vals
     return w
 
 
@@ -187,30 +229,31 @@ def _scorer(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            score = [model.score(t) for t in batch.column("_text").to_pylist()]
-            keep = [c for c in batch.schema.names if c != "_text"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(score, pa.float64())], names=[*keep, "score"])
+            score = [model.score(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(score, pa.float64())], names=["row", "score"])
         model.known.clear()  # the worker keeps the broadcast model for as long as it lives
 
     return run
 
 
 def score(docs: DataFrame, model: Model, keep: list[Column], text: str = "text") -> DataFrame:
-    """The kept columns and score. The model that is broadcast has at most SLOTS weights."""
-    read = common.small_batches(docs).select(*keep, F.col(text).alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields if f.name != "_text")
-    return read.mapInArrow(common.sparing(_scorer(docs.sparkSession.sparkContext.broadcast(model))), f"{kinds}, score double")
+    """row (a struct of the kept columns) and score. The model that is broadcast has at most SLOTS weights."""
+    read = docs.select(F.struct(*keep).alias("row"), F.col(text).alias("text"))
+    row = read.schema["row"].dataType.simpleString()
+    return read.mapInArrow(common.sparing(_scorer(docs.sparkSession.sparkContext.broadcast(model))), f"row {row}, score double")
 
 
 def with_labels(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """Texts with a label, from rows that aren't held out. Keys that labels repeat count once, with their largest label."""
-    own = common.small(common.saved(labels.where(~common.held_out(F.col(key)) & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(label).alias("_label")), "labels"))
-    return docs.join(own, F.col(key) == F.col("_key")).select(F.col(text).alias("text"), F.col("_label").alias("toxic"))
+    """Texts with a label (text, toxic), from rows that aren't held out. Keys that labels repeat count once, with their largest label."""
+    own = labels.select(F.col(key).alias("_key"), F.col(label).alias("toxic")).where(~common.held_out(F.col("_key")) & F.col("_key").isNotNull())
+    own = common.small(common.saved(own.groupBy("_key").agg(F.max("toxic").alias("toxic")), "labels"))
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(own, F.col("key") == F.col("_key")).select("text", "toxic")
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    model = learn(with_labels(docs, common.table(spark, sf_dir, "labels")))
+    with common.Scratch(spark):
+        model = learn(with_labels(docs, common.table(spark, sf_dir, "labels")))
     key = F.col("doc_id")
-    scored = score(docs, model, [key, common.held_out(key).alias("held_out")])
+    scored = score(docs, model, [key, common.held_out(key).alias("held_out")]).select("row.*", "score")
     return scored.withColumn("predicted", (F.col("score") >= CUT).cast("int"))

@@ -276,9 +276,12 @@ def scaled(vec: str, by: float) -> Column:
 def exact_top(df: DataFrame, queries: Column, k: int = 20, scale: float = 64.0, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """Each query's k largest integer inner products of components floor(scale * x)."""
     whole = lambda rows: rows.select(key, scaled(vec, scale).alias(vec))
-    tiles = pack(whole(df), key, vec, TILE, True, plain_tile, "tiles")
-    blocks = pack(whole(df.where(queries)), key, vec, BLOCK, True, plain_tile, "query-blocks")
-    return top(tiles, blocks, k, exact_search, np.int64, key)
+    with common.Scratch(df.sparkSession) as scratch:
+        tiles = pack(whole(df), key, vec, TILE, True, plain_tile, "tiles")
+        blocks = pack(whole(df.where(queries)), key, vec, BLOCK, True, plain_tile, "query-blocks")
+        out = common.saved(top(tiles, blocks, k, exact_search, np.int64, key), "top-lists")
+        scratch.keep(out)
+        return out
 
 
 def op6_exact_top_k(spark, sf_dir: str) -> DataFrame:
@@ -471,11 +474,14 @@ def nearest(df: DataFrame, queries: Column, k: int = 20, factor: float | None =
     None measures the factor that ``RECALL`` needs on at most ``SAMPLED`` queries.
     """
     read = df.select(key, vec)
-    tiles = pack(read, key, vec, SHARD, False, tree_tile, "shards")
-    blocks = pack(read.where(queries), key, vec, BLOCK, False, plain_tile, "query-blocks")
-    if factor is None:
-        factor = measured_factor(tiles, read.where(queries), k, key, vec)
-    return top(tiles, blocks, k, tree_search(factor), np.float64, key)
+    with common.Scratch(df.sparkSession) as scratch:
+        tiles = pack(read, key, vec, SHARD, False, tree_tile, "shards")
+        blocks = pack(read.where(queries), key, vec, BLOCK, False, plain_tile, "query-blocks")
+        if factor is None:
+            factor = measured_factor(tiles, read.where(queries), k, key, vec)
+        out = common.saved(top(tiles, blocks, k, tree_search(factor), np.float64, key), "top-lists")
+        scratch.keep(out)
+        return out
 
 
 def op1_vantage_trees(spark, sf_dir: str) -> DataFrame:
