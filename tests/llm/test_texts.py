@@ -64,9 +64,11 @@ def test_words_apart_are_the_whole_text():
     words = token_tables.Words(token_tables.default_tokenizer())
     assert words.by_word
     texts = ["İ!", "aİ. b", "ﬁİ?!", "e\u0301! \u0301!", "'s! it's.", "ß! ŉ. ǰ, ΐ;", "<|endoftext|>! a<|startoftext|>", "각! \u1100\u1161. \u1100\u1161\u11a8!", "x\u0345! ª! º? ⅷ! 𝐀."]
-    texts += noise(20_000, "İIıi\u0307\u0301\u0345éßﬁǅ'\u2019.,!?;:%$&#*sStTmM  \t\u00a0<|endoftext|>1٣中각\u1161ªᾳ", seed=9)
-    for t, e in zip(texts, words.library.encode_batch(texts, add_special_tokens=False), strict=True):
-        assert np.frombuffer(words.checked(t), f"<u{words.width}").tolist() == e.ids
+    texts += noise(20_000, "\x0b\x0c\x1cİIıi\u0307\u0301\u0345éßﬁǅ'\u2019.,!?;:%$&#*sStTmM  \t\u00a0<|endoftext|>1٣中각\u1161ªᾳ", seed=9)
+    found = words.encode_all([t.encode() for t in texts])
+    for t, ids, e in zip(texts, found, words.library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(ids, f"<u{words.width}").tolist() == e.ids, t
+    assert words.encode_all([]) == [] and words.encode_all([b"", b" "]) == [b"", b""]
 
 
 def test_token_tables_of_odd_tables(spark, tmp_path):

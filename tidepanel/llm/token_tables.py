@@ -10,7 +10,7 @@ order is numeric order. A value is the ids, two bytes each if the vocabulary fit
 
 Shards are written under a name of the attempt and then renamed, so lost executors and repeated tasks leave whole
 files. The manifest is a table of one row a shard; places of documents come from a window over it. A large table gets more
-shards, not larger ones. Every ``WHOLE_EVERY``th text of a task is also encoded whole by the library; a difference stops the job.
+shards, not larger ones. The first of every ``TOGETHER`` texts is also encoded whole by the library; a difference stops the job.
 
 Defined cases: null text is empty; a null identifier sorts first; rows that repeat an identifier are entries of
 their own, ordered by md5 of the text; an empty text has the end id alone; an empty table gives no rows; other
@@ -43,12 +43,16 @@ BITS_A_KEY, HASHES = 10, 7
 FOOTER = struct.Struct("<QQQQQQQB7x8s")
 #: Words a worker remembers in each of two generations.
 REMEMBERED = 450_000
-#: Bytes of input (as the reader estimates them) a shard is made for, and texts of which one is held whole against the library.
-SHARD_BYTES, WHOLE_EVERY = 128 << 20, 500
+#: Bytes of input (as the reader estimates them) a shard is made for, and texts whose words are looked up together, the first of them held whole against the library.
+SHARD_BYTES, TOGETHER = 128 << 20, 500
 #: Shards that an estimate of a table's size may ask for; an estimate of a join can be far too large.
 MOST_SHARDS = 200_000
 WORD = re.compile(r"[^ \t\n\r]+")
 MARKS = ".,!?;:%$&#*"
+#: What a byte is: a blank that words are cut at (0), a mark (2), an ASCII letter (3), other (1).
+KINDS = np.ones(256, np.uint8)
+KINDS[list(b" \t\n\r")], KINDS[list(MARKS.encode())] = 0, 2
+KINDS[65:91] = KINDS[97:123] = 3
 #: Fixed value: how the tokenizer's file splits a normalized word.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -200,8 +204,8 @@ class Words:
         self.library = Tokenizer.from_file(path)
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.apart: dict[str, bool] = {}
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.ends = np.zeros(self.library.get_vocab_size(), bool)
         for piece, i in self.library.get_vocab().items():
             self.ends[i] = piece.endswith("</w>")
@@ -233,34 +237,70 @@ class Words:
             self.apart[letter] = len(made) == 2 and made[1][0] == "!"
         return self.apart[letter]
 
-    def checked(self, text: str) -> bytes:
-        """As encode, held against the library's ids of the whole text."""
-        ids = self.encode(text)
-        if ids != self._raw([text])[0]:
-            raise ValueError(f"ids by word and of the whole text differ for a text of {len(text)} characters that begins {text[:80]!r}")
-        return ids
-
-    def encode(self, text: str) -> bytes:
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each UTF-8 text. Words are cut and numbered by array operations; each distinct one is looked up once."""
         if not self.by_word:
-            return self._raw([text])[0]
+            return self._raw([t.decode() for t in texts])
+        data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+        kind = KINDS[data]
+        word = kind != 0
+        starts = word.copy()
+        starts[1:] &= ~word[:-1] | ((kind[1:] == 2) & (kind[:-1] == 3))  # a mark behind a letter begins a pre-token, always
+        starts = np.flatnonzero(starts)
+        if not len(starts):
+            return [b""] * len(texts)
+        upto = np.cumsum(word)  # places once blanks are left out
+        offsets = np.append(upto[starts] - 1, upto[-1]).astype(np.int64)
+        cut = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[word])]).dictionary_encode()
+        ids = self._ids(cut.dictionary.to_pylist())
+        number = cut.indices.to_numpy()
+        size = np.array(list(map(len, ids)), np.int64) // self.width
+        first = np.concatenate([[0], np.cumsum(size)])[:-1]
+        each = size[number]
+        stop = np.cumsum(each)
+        flat = np.frombuffer(b"".join(ids), f"<u{self.width}")
+        flat = flat[np.repeat(first[number] - (stop - each), each) + np.arange(int(stop[-1]))]
+        begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        at = np.concatenate([[0], stop])[np.searchsorted(starts, begin)].tolist()
+        return [flat[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)]
+
+    def _ids(self, words: list[bytes]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
-        # Python splits at four separators more than the tokenizer's white space has.
-        odd = "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
-        words = WORD.findall(text) if odd else text.split()
-        known = self.known
-        new = set(words).difference(known)
-        if new:
-            older = self.older
-            again = {w for w in new if w in older}
-            known.update((w, older[w]) for w in again)
-            new -= again
-            # Marks at the end of a word that a letter precedes are a pre-token of their own.
-            stems = {w: s for w in new if (s := w.rstrip(MARKS)) and s != w and s[-1].isalpha() and (s[-1] < "\x80" or self._parts_after(s[-1]))}
-            parts = {*(s for s in stems.values()), *(w[len(s) :] for w, s in stems.items()), *(new - stems.keys())}.difference(known)
-            known.update(zip(parts, self._each(list(parts)) if parts else [], strict=True))
-            known.update((w, known[s] + known[w[len(s) :]]) for w, s in stems.items())
-        return b"".join([known[w] for w in words])
+        known, older = self.known, self.older
+        found = list(map(known.get, words))
+        gaps = [i for i, ids in enumerate(found) if ids is None]
+        if gaps:
+            new = {words[i] for i in gaps}
+            again = {w: ids for w in new if (ids := older.get(w)) is not None}
+            known.update(again)
+            self._learn([w.decode() for w in new.difference(again)])
+            for i in gaps:
+                found[i] = known[words[i]]
+        return found
+
+    def _learn(self, new: list[str]) -> None:
+        known, older = self.known, self.older
+        # Marks at the end of a word that a letter precedes are a pre-token of their own.
+        stems = {w: s for w in new if (s := w.rstrip(MARKS)) and s != w and s[-1].isalpha() and (s[-1] < "\x80" or self._parts_after(s[-1]))}
+        parts = {*stems.values(), *(w[len(s) :] for w, s in stems.items()), *(w for w in new if w not in stems)}
+        ids, ask = {}, []
+        for p in parts:
+            raw = p.encode()
+            if (old := known.get(raw)) is None and (old := older.get(raw)) is None:
+                ask.append(p)
+            else:
+                ids[p] = old
+        ids.update(zip(ask, self._each(ask) if ask else [], strict=True))
+        known.update((p.encode(), i) for p, i in ids.items())
+        known.update((w.encode(), ids[s] + ids[w[len(s) :]]) for w, s in stems.items())
+
+    def checked(self, texts: list[bytes]) -> list[bytes]:
+        """As encode_all; the first text is held against the library's ids of the whole."""
+        ids = self.encode_all(texts)
+        if texts and ids[0] != self._raw([texts[0].decode()])[0]:
+            raise ValueError(f"ids by word and of the whole text differ for a text of {len(texts[0])} bytes that begins {texts[0][:80]!r}")
+        return ids
 
 
 _LOADED: dict[str, Words] = {}
@@ -282,8 +322,13 @@ def _writer(tokenizer: str, folder: str, end: int | None):
 
         words = loaded(tokenizer)
         tail = b"" if end is None else np.array([end], f"<u{words.width}").tobytes()
-        rows = ((k.as_py(), t.as_py() or "") for b in batches for k, t in zip(b.column("key"), b.column("text"), strict=True))
-        entries = ((key_bytes(k), (words.encode if n % WHOLE_EVERY else words.checked)(t) + tail) for n, (k, t) in enumerate(rows))
+
+        def rows() -> Iterator[tuple[bytes, bytes]]:
+            for part in common.slices(batches, TOGETHER):
+                texts = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
+                yield from zip(map(key_bytes, part.column("key").to_pylist()), [i + tail for i in words.checked(texts)], strict=True)
+
+        entries = rows()
         first = next(entries, None)
         if first is None:
             return
