@@ -289,7 +289,7 @@ class Lines:
         self.line, self.blank, self.hard = [], True, False
 
     def emit(self, text: str) -> None:
-        if self.gap and self.out and not self.marks and not self.cell:
+        if self.gap and self.out:
             self.out.append("")
         self.gap = False
         if not text:
@@ -301,7 +301,7 @@ class Lines:
 
     def block(self, apart: bool) -> None:
         self.flush()
-        self.gap |= apart
+        self.gap |= apart and not self.marks and not self.cell
 
     def broken(self) -> None:
         if "".join(self.line).strip():
@@ -402,7 +402,7 @@ def lay_out(root: Node) -> list[str]:
                 own = tables.pop()
                 for line in own.lines():
                     out.emit(line)
-                out.gap = True
+                out.block(True)
             elif tag in ("td", "th", "caption") and tables:
                 if len(tables) <= NESTED:
                     outs.pop()
