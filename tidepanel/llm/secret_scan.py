@@ -25,6 +25,7 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -160,6 +161,20 @@ def span_string(labelled) -> F.Column:
     return F.coalesce(F.array_join(each, ","), F.lit(""))
 
 
+def _only(with_spans: bool):
+    """Extraction that gives back the rows with spans, or the rows without (row and text alone)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _extract(batches):
+            some = pc.greater(pc.list_value_length(batch.column("found")), 0)
+            if with_spans:
+                yield batch.filter(some)
+            else:
+                yield batch.select(["row", "text"]).filter(pc.invert(some))
+
+    return run
+
+
 def _mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
@@ -180,7 +195,7 @@ def redact(
     docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id",
     copied_owners: int = COPIED_OWNERS, copied_repositories: int = COPIED_REPOSITORIES,
 ) -> DataFrame:
-    """docs with every span replaced by its label; columns and their order stay. Documents without spans go through no join."""
+    """docs with every span replaced by its label; columns and their order stay. Only documents with spans are written and joined."""
     cols = docs.columns
     others = [F.col(f"`{c}`") for c in cols if c != text] or [F.lit(0).alias("none")]
     read = docs.select(
@@ -188,11 +203,13 @@ def redact(
     )
     row = read.schema["row"].dataType.simpleString()
     with common.Scratch(docs.sparkSession) as scratch:
-        found = common.saved(read.mapInArrow(common.sparing(_extract), f"row {row}, owner string, repository string, text string, {FOUND}"), "texts-with-spans")
+        found = common.saved(read.mapInArrow(common.sparing(_only(True)), f"row {row}, owner string, repository string, text string, {FOUND}"), "texts-with-spans")
         both = common.saved(labelled(found, ["row", "text"], copied_owners, copied_repositories), "texts-with-labels")
         scratch.keep(both)
     masked = both.mapInArrow(common.sparing(_mask), f"row {row}, text string")
-    return masked.select(*[F.col("text").alias(text) if c == text else F.col(f"row.`{c}`") for c in cols])
+    # The spans are a function of the text, so the texts without any are found again instead of being written.
+    plain = read.mapInArrow(common.sparing(_only(False)), f"row {row}, text string")
+    return plain.unionByName(masked).select(*[F.col("text").alias(text) if c == text else F.col(f"row.`{c}`") for c in cols])
 
 
 def op9_secret_scan(spark, sf_dir: str) -> DataFrame:
