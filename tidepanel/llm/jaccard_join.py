@@ -55,6 +55,8 @@ ROUNDS, GROUP, BEST = 1, 8, 2
 HOT, BLOCK, COLUMNS = 128, 256, 4096
 #: Rows of a token, or candidates of a document, that one task of a join takes at most.
 HOT_LIST = 1000
+#: Texts that a worker holds the sets of at once.
+TOGETHER = 200
 
 
 def _trim(run):
@@ -72,7 +74,7 @@ def _first_pass(words: int):
 
         counts = np.zeros(BINS, np.uint32)
         names = ["node", "key", "n", "set_key", "task", "piece", "counts"]
-        for batch in (whole.slice(low, 1000) for whole in batches for low in range(0, whole.num_rows, 1000)):
+        for batch in common.slices(batches, TOGETHER):
             n, keys = [], []
             for found in shingles.sets(batch.column("text").to_pylist(), words):
                 n.append(len(found))
@@ -137,35 +139,31 @@ def _prefixes(words: int, percent: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = shared.value
         usual = float(sketch.mean() + 3 * np.sqrt(sketch.mean()) + 1)
-        for batch in batches:
-            for low in range(0, batch.num_rows, 1000):
-                part = batch.slice(low, 1000)
-                tokens, sizes, need, total, nodes = [], [], [], [], []
-                for node, found in zip(part.column("node").to_pylist(), shingles.sets(part.column("text").to_pylist(), words), strict=True):
-                    if len(found):
-                        own, least = prefix(found, sketch, usual, percent)
-                        tokens.append(own)
-                        sizes.append(len(own))
-                        need.append(least)
-                        total.append(len(found))
-                        nodes.append(node)
-                if tokens:
-                    spread = lambda x, kind: pa.array(np.repeat(np.array(x, kind), sizes))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(tokens).view(np.int64)), spread(nodes, np.int64), spread(total, np.int32), spread(need, np.int8), spread(sizes, np.int32)],
-                        names=["token", "node", "n", "need", "size"],
-                    )
+        for part in common.slices(batches, TOGETHER):
+            tokens, sizes, need, total, nodes = [], [], [], [], []
+            for node, found in zip(part.column("node").to_pylist(), shingles.sets(part.column("text").to_pylist(), words), strict=True):
+                if len(found):
+                    own, least = prefix(found, sketch, usual, percent)
+                    tokens.append(own)
+                    sizes.append(len(own))
+                    need.append(least)
+                    total.append(len(found))
+                    nodes.append(node)
+            if tokens:
+                spread = lambda x, kind: pa.array(np.repeat(np.array(x, kind), sizes))  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(tokens).view(np.int64)), spread(nodes, np.int64), spread(total, np.int32), spread(need, np.int8), spread(sizes, np.int32)],
+                    names=["token", "node", "n", "need", "size"],
+                )
 
     return run
 
 
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, 1000):
-                part = batch.slice(low, 1000)
-                found = [x.tobytes() for x in shingles.sets(part.column("text").to_pylist(), words)]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(found, pa.binary())], names=["node", "set"])
+        for part in common.slices(batches, TOGETHER):
+            found = [x.tobytes() for x in shingles.sets(part.column("text").to_pylist(), words)]
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(found, pa.binary())], names=["node", "set"])
 
     return run
 
