@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tidepanel.operators import inference
-from tidepanel.plans import tests_and_ingest
+from tidepanel.plans import ingest
 from tidepanel.sources import news
 
 
@@ -27,14 +27,10 @@ def test_missing_column(spark, tmp_path):
         news.scan(spark, str(tmp_path / "raw.csv"))
 
 
-def test_tails_and_wald():
+def test_tails():
     assert abs(inference.chi_square_tail(7.78186694, 3) - 0.0507417) < 1e-6
     assert abs(inference.chi_square_tail(9.656, 3) - 0.02173) < 1e-5
     assert abs(inference.chi_square_tail(2.0, 2) - np.exp(-1)) < 1e-12
-    w, _ = inference.wald([9.0, 1.0, 2.0], [[1, 0, 0], [0, 2, 1], [0, 1, 3]], [1, 2])
-    assert abs(w - np.array([1, 2]) @ np.linalg.inv([[2, 1], [1, 3]]) @ np.array([1, 2])) < 1e-12
-    with pytest.raises(ValueError):
-        inference.wald([1.0, 1.0], [[1, 1], [1, 1]], [0, 1])
 
 
 def test_shifts_are_refits(spark):
@@ -59,24 +55,16 @@ def test_bootstrap_of_groups(spark):
         times = np.random.default_rng([7, d]).multinomial(20, np.full(20, 1 / 20))
         at = np.repeat(np.arange(200), times[grp])
         assert abs(got[d] - (f1(t[at], a[at]) - f1(t[at], b[at]))) < 1e-12
+    right = {r["draw"]: r["accuracy"] for r in inference.group_bootstrap(rows, "t", "a", "b", "g", [0, 1], 1).collect()}
+    assert abs(right[-1] - ((t == a).mean() - (t == b).mean())) < 1e-12
 
 
 def test_registered_bootstrap_takes_the_default_draws(spark, monkeypatch):
     draws = []
     real = inference.group_bootstrap
     monkeypatch.setattr(inference, "group_bootstrap", lambda *a, **k: draws.append((df := real(*a, **k)).count() - 1) or df)
-    monkeypatch.setattr(tests_and_ingest.Q, "judged", lambda s, d: s.range(100).selectExpr("id AS doc_id", "int(id % 2) AS quality", "int(id % 3 = 0) AS long", "id % 5 - 2 AS score"))
-    assert tests_and_ingest.group_bootstrap(spark, "").count() == 1 and draws == [10_000]
-
-
-def test_halves_are_refits(spark):
-    data = np.random.default_rng(9).normal(size=(60, 2))
-    rows = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(data)], "pos int, z double, y double")
-    got = {r[0]: r for r in inference.halves(rows, ["z"], "y", 2, "z")}
-    slope = lambda d: np.polyfit(d[:, 0], d[:, 1], 1)[0]
-    for name, part in (("full", data), ("first", data[:30]), ("second", data[30:])):
-        assert got[name][1] == len(part) and abs(got[name][2] - slope(part)) < 1e-10
-    assert abs(got["difference"][2] - (slope(data[30:]) - slope(data[:30]))) < 1e-10
+    monkeypatch.setattr(ingest.Q, "judged", lambda s, d: s.range(100).selectExpr("id AS doc_id", "int(id % 2) AS quality", "int(id % 7 = 0) AS toxic", "int(id % 3 = 0) AS long", "(id % 5 - 2) / 2.0D AS score"))
+    assert ingest.group_bootstrap(spark, "").count() == 1 and draws == [10_000]
 
 
 def test_empty_inputs(spark):

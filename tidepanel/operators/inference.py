@@ -1,4 +1,4 @@
-"""Tests over the panel: joint Wald, halves, circular shifts, bootstrap of groups.
+"""Tail probabilities, circular shifts, bootstrap of groups.
 
 Sums over sessions run in Spark. Arrays reach the driver only for one value a session or a labelled group, and
 above ``MOST`` of them the functions refuse: such inputs aren't calendars or hand-labelled sets.
@@ -14,7 +14,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.operators import stats
 
 MOST = 100_000
 
@@ -31,31 +30,6 @@ def normal_p(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
-def wald(beta: list[float], cov: list[list[float]], which: list[int]) -> tuple[float, float]:
-    """Statistic and probability of the hypothesis that the chosen coefficients are all 0; a singular block is refused."""
-    b = [beta[i] for i in which]
-    half = stats.solve([[cov[i][j] for j in which] for i in which], b)
-    w = sum(x * y for x, y in zip(b, half, strict=True))
-    return w, chi_square_tail(w, len(which))
-
-
-def halves(rows: DataFrame, xs: list[str], y: str, lags: int, term: str, pos: str = "pos") -> list[tuple[str, int, float, float, float]]:
-    """(part, sessions, coefficient, error, p) of the whole sample, its two halves in order, and second minus first half.
-
-    The halves share no session; the error of the difference is taken as of independent parts.
-    """
-    count, middle = rows.agg(F.count(F.lit(1)), F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {pos})")).first()
-    parts = {"full": rows, "first": rows.where(F.col(pos) <= middle), "second": rows.where(F.col(pos) > middle)}
-    out, found = [], {}
-    for name, part in parts.items():
-        b, e = next((b, e) for n, b, e in stats.hac_errors(part, xs, y, lags, pos) if n == term)
-        n = count if name == "full" else part.count()
-        found[name] = b, e
-        out.append((name, n, b, e, normal_p(b / e)))
-    gap, error = found["second"][0] - found["first"][0], math.hypot(found["first"][1], found["second"][1])
-    return [*out, ("difference", count, gap, error, normal_p(gap / error))]
-
-
 def _array(rows: DataFrame, cols: list) -> np.ndarray:
     found = rows.select(*[F.col(c).cast("double") for c in cols]).limit(MOST + 1).collect()
     if len(found) > MOST:
@@ -98,8 +72,13 @@ def _macro_f1(cells: np.ndarray, k: int) -> np.ndarray:
     return np.where(total > 0, 2 * hit / np.maximum(total, 1), 0.0).mean(1)
 
 
+def _accuracy(cells: np.ndarray, k: int) -> np.ndarray:
+    m = cells.reshape(-1, k, k)
+    return np.diagonal(m, axis1=1, axis2=2).sum(1) / np.maximum(m.sum((1, 2)), 1)
+
+
 def group_bootstrap(rows: DataFrame, truth: str, first: str, second: str, group: str, classes: list[int], draws: int = 10_000, seed: int = 7, block: int = 100) -> DataFrame:
-    """(draw, difference): macro-F1 of first minus second over whole groups drawn with replacement; draw -1 is the sample itself.
+    """(draw, difference, accuracy): macro-F1, and accuracy, of first minus second over whole groups drawn with replacement; draw -1 is the sample itself.
 
     Groups are counted in Spark first, so a draw costs the groups and not the rows. Every draw has a seed of its own:
     results don't depend on how draws are dealt over tasks.
@@ -117,6 +96,7 @@ def group_bootstrap(rows: DataFrame, truth: str, first: str, second: str, group:
                 ids = frame["id"].to_numpy()[low : low + block]
                 times = np.stack([np.ones(n) if d < 0 else np.random.default_rng([seed, int(d)]).multinomial(n, np.full(n, 1 / n)) for d in ids]) if n else np.zeros((len(ids), 0))
                 sums = times @ own
-                yield pd.DataFrame({"draw": ids, "difference": _macro_f1(sums[:, : k * k], k) - _macro_f1(sums[:, k * k :], k)})
+                a, b = sums[:, : k * k], sums[:, k * k :]
+                yield pd.DataFrame({"draw": ids, "difference": _macro_f1(a, k) - _macro_f1(b, k), "accuracy": _accuracy(a, k) - _accuracy(b, k)})
 
-    return spark.range(-1, draws).mapInPandas(run, "draw bigint, difference double")
+    return spark.range(-1, draws).mapInPandas(run, "draw bigint, difference double, accuracy double")

@@ -22,11 +22,36 @@ def calendar(spark: SparkSession, start: str, end: str, holidays: list[str] = ()
     return days.select("session", F.lag("session").over(order).alias("prev"), (F.row_number().over(order) - 1).alias("pos"))
 
 
-def date_dimension(sessions: DataFrame, defer: bool = True) -> DataFrame:
+def trading_calendar(spark: SparkSession, start: str, end: str, holidays: DataFrame | None) -> DataFrame:
+    """As calendar, with holidays(day) from a table; without one there is no trading calendar, and that is an error."""
+    if holidays is None:
+        raise ValueError("a trading calendar needs its holidays")
+    days = [str(r[0]) for r in holidays.select(F.col("day").cast("date").alias("day")).where(F.col("day").between(start, end)).distinct().collect()]  # some ten a year
+    return calendar(spark, start, end, days)
+
+
+def require_same_sessions(own: DataFrame, calendar_: DataFrame) -> None:
+    """Refuse a frame whose sessions aren't exactly the calendar's."""
+    from tidepanel.operators import audit
+
+    odd = {r["side"]: r["n"] for r in audit.calendar_difference(own, calendar_).groupBy("side").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if odd:
+        raise ValueError("sessions differ from the calendar: " + ", ".join(f"{n} {side}" for side, n in sorted(odd.items())))
+
+
+def session_closes(sessions: DataFrame, zone: str = "America/New_York", hour: int = 16) -> DataFrame:
+    """sessions with close, the moment (UTC) of the local closing hour."""
+    return sessions.withColumn("close", F.to_utc_timestamp(F.col("session").cast("timestamp") + F.expr(f"INTERVAL '{hour}' HOUR"), zone))
+
+
+def date_dimension(sessions: DataFrame, defer: bool = True, prior: str | None = None) -> DataFrame:
     """(day, session): each calendar day to the first session after it (defer) or on or after it.
 
-    Exploded days make the as-of mapping an equi-join on a broadcast calendar instead of a range join.
+    Exploded days make the as-of mapping an equi-join on a broadcast calendar instead of a range join. prior is the session before the
+    calendar's first, if there was one: then the first session takes the days since as any other does.
     """
+    if prior is not None:
+        sessions = sessions.withColumn("prev", F.coalesce("prev", F.lit(prior).cast("date")))
     low, high = (F.col("prev"), F.date_sub("session", 1)) if defer else (F.date_add("prev", 1), F.col("session"))
     out = sessions.where("prev IS NOT NULL").select("session", F.explode(F.sequence(low, high)).alias("day"))
     if not defer:
@@ -34,13 +59,19 @@ def date_dimension(sessions: DataFrame, defer: bool = True) -> DataFrame:
     return out
 
 
-def map_dates(events: DataFrame, sessions: DataFrame, ts: str, defer: bool = True) -> DataFrame:
+def map_dates(events: DataFrame, sessions: DataFrame, ts: str, defer: bool = True, prior: str | None = None) -> DataFrame:
     """events with session, null at both edges of the calendar."""
-    return events.join(F.broadcast(date_dimension(sessions, defer)), F.to_date(ts) == F.col("day"), "left").drop("day")
+    return events.join(F.broadcast(date_dimension(sessions, defer, prior)), F.to_date(ts) == F.col("day"), "left").drop("day")
 
 
-def map_intraday(events: DataFrame, sessions: DataFrame, ts: str, close_hour: int = 16) -> DataFrame:
-    """events with the first session whose close is at or after ts; the first session takes nothing, for no close precedes it."""
+def map_intraday(events: DataFrame, sessions: DataFrame, ts: str, close_hour: int = 16, prior: str | None = None, zone: str | None = None) -> DataFrame:
+    """events with the first session whose close is at or after ts; the first session takes nothing, for no close precedes it, unless
+    the session before (prior) is told. With a zone, ts is UTC and the close is that zone's hour."""
+    if zone is not None:
+        local = F.from_utc_timestamp(F.col(ts).cast("timestamp"), zone).cast("timestamp_ntz")
+        return map_intraday(events.withColumn("_local", local), sessions, "_local", close_hour, prior).drop("_local")
+    if prior is not None:
+        sessions = sessions.withColumn("prev", F.coalesce("prev", F.lit(prior).cast("date")))
     after = F.expr(f"make_interval(0, 0, 0, 0, {24 - close_hour}, 0, 0)")
     # A stamp on the close belongs to it: shifted a microsecond back, the shifted day is the first day whose close isn't over.
     day = F.to_date(F.col(ts).cast("timestamp_ntz") - F.expr("INTERVAL '0.000001' SECOND") + after)
@@ -75,6 +106,25 @@ def market(prices: DataFrame, sessions: DataFrame) -> DataFrame:
     )
 
 
+def checked_panel(day: DataFrame, bars_: DataFrame, window: int = VOLUME_WINDOW) -> DataFrame:
+    """As panel; sessions that repeat, market columns that lack, or a join that changes the number of rows are refused."""
+    lacking = [c for c in ("close", "ret", "range_var", "log_volume") if c not in bars_.columns]
+    if lacking:
+        raise ValueError(f"the market lacks {', '.join(lacking)}")
+    for name, df in (("daily scores", day), ("the market", bars_)):
+        if df.groupBy("session").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR session IS NULL").limit(1).count():
+            raise ValueError(f"{name} repeat a session")
+    out = panel(day, bars_, window)
+    if out.count() != day.count():
+        raise ValueError("the join changed the number of sessions")
+    return out
+
+
+def complete_sessions(events: DataFrame, score: str) -> DataFrame:
+    """(session, complete): whether all of a session's events have a score."""
+    return events.where("session IS NOT NULL").groupBy("session").agg(F.every(F.col(score).isNotNull()).alias("complete"))
+
+
 def panel(day: DataFrame, bars_: DataFrame, window: int = VOLUME_WINDOW) -> DataFrame:
     """Daily scores and market with lags, leads and the volume's distance from its full trailing mean.
 
@@ -87,4 +137,5 @@ def panel(day: DataFrame, bars_: DataFrame, window: int = VOLUME_WINDOW) -> Data
         "*", (F.col("log_volume") - mean).alias("volume_gap"),
         *[F.lag(c).over(order).alias(f"{c}_lag1") for c in ("ret", "range_var", "log_volume")],
         *[F.lead("ret", h).over(order).alias(f"ret_lead{h}") for h in HORIZONS],
+        *[F.lead(c).over(order).alias(f"{c}_lead1") for c in ("range_var", "log_volume")],
     )

@@ -8,22 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-REASONS = ("no_events", "no_dispersion", "no_lag", "no_volume", "no_lead")
-
-
-def eligible(panel: DataFrame, lead: str = "ret_lead1") -> DataFrame:
-    """The first reason that excludes a session, in order; null for those that stay."""
-    return panel.withColumn(
-        "reason",
-        F.when(F.col("n") == 0, "no_events").when(F.col("d").isNull(), "no_dispersion").when(F.col("ret_lag1").isNull(), "no_lag")
-        .when(F.col("volume_gap").isNull(), "no_volume").when(F.col(lead).isNull(), "no_lead"),
-    )
-
-
-def ledger(flagged: DataFrame) -> DataFrame:
-    return flagged.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("sessions"))
-
-
 def standardized(rows: DataFrame, cols: list[str]) -> DataFrame:
     """z-scores by the rows' own mean and sample deviation, from one aggregate."""
     sums = rows.agg(*[f(c).alias(f"_{n}_{c}") for c in cols for n, f in (("m", F.avg), ("s", F.stddev_samp))])
@@ -79,26 +63,6 @@ def hac_meat(rows: DataFrame, xs: list[str], y: str, beta: list[float], lags: in
     return pairs.agg(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.sum(each(i, j)).alias("value")) for i, j in cells]).alias("all")).select(F.inline("all"))
 
 
-def hac_covariance(rows: DataFrame, xs: list[str], y: str, lags: int, pos: str = "pos") -> tuple[list[float], list[list[float]]]:
-    """Coefficients, intercept first, and their session-spaced Newey-West covariance."""
-    beta, k = fit(rows, xs, y), len(xs) + 1
-    a = [[0.0] * k for _ in range(k)]
-    for r in normal_equations(rows, xs, y).where("j >= 0").collect():
-        a[r["i"]][r["j"]] = a[r["j"]][r["i"]] = r["value"]
-    meat = [[0.0] * k for _ in range(k)]
-    for r in hac_meat(rows, xs, y, beta, lags, pos).collect():
-        meat[r["i"]][r["j"]] = meat[r["j"]][r["i"]] = r["value"]
-    inverse = [solve(a, [float(i == j) for i in range(k)]) for j in range(k)]
-    cov = [[sum(inverse[p][i] * meat[i][j] * inverse[j][q] for i in range(k) for j in range(k)) for q in range(k)] for p in range(k)]
-    return beta, cov
-
-
-def hac_errors(rows: DataFrame, xs: list[str], y: str, lags: int, pos: str = "pos") -> list[tuple[str, float, float]]:
-    """(name, coefficient, session-spaced Newey-West error) of each column."""
-    beta, cov = hac_covariance(rows, xs, y, lags, pos)
-    return [(name, b, math.sqrt(cov[p][p])) for p, (name, b) in enumerate(zip(["const", *xs], beta, strict=True))]
-
-
 def autocorrelation(rows: DataFrame, value: str, pos: str, lags: int = 20) -> DataFrame:
     """(lag, acf) over retained rows in order."""
     order = W.orderBy(pos)
@@ -124,13 +88,42 @@ def confusion(rows: DataFrame, truth: str, pred: str) -> DataFrame:
     return rows.groupBy(truth, pred).agg(F.count(F.lit(1)).alias("n"))
 
 
-def f1_grid(scored: DataFrame, truth: str, score: str, cuts: DataFrame) -> DataFrame:
-    """F1 of label 1 at every cut; scores are counted once by distinct value, then met with the small grid."""
-    counts = scored.groupBy(F.col(score).alias("s")).agg(F.sum(truth).alias("pos"), F.count(F.lit(1)).alias("n"))
-    met = counts.join(F.broadcast(cuts))
-    hit = lambda c: F.sum(F.when(F.col("s") >= F.col("cut"), F.col(c)).otherwise(0))
-    by = met.groupBy("cut").agg(hit("pos").alias("tp"), hit("n").alias("predicted"), F.sum("pos").alias("actual"))
-    return by.select("cut", F.when(F.col("predicted") + F.col("actual") > 0, 2 * F.col("tp") / (F.col("predicted") + F.col("actual"))).otherwise(0.0).alias("f1"))
+def banded(score: Column, low: Column | float, high: Column | float) -> Column:
+    """-1 up to low, 1 above high, 0 in the band between."""
+    return F.when(score <= low, -1).when(score > high, 1).otherwise(0)
+
+
+def macro_f1(cells: DataFrame, by: list[str]) -> DataFrame:
+    """cells(*by, truth, pred, n) to macro_f1 and accuracy over the labels -1, 0 and 1; a label that never occurs counts 0."""
+    one = lambda v: [F.sum(F.when(c, F.col("n")).otherwise(0)) for c in ((F.col("truth") == v) & (F.col("pred") == v), F.col("truth") == v, F.col("pred") == v)]
+    parts = [F.when(t + p > 0, 2 * h / (t + p)).otherwise(0.0) for h, t, p in map(one, (-1, 0, 1))]
+    right = F.sum(F.when(F.col("truth") == F.col("pred"), F.col("n")).otherwise(0))
+    return cells.groupBy(*by).agg(((parts[0] + parts[1] + parts[2]) / 3).alias("macro_f1"), (right / F.sum("n")).alias("accuracy"), F.sum("n").alias("rows"))
+
+
+def threshold_grid(scored: DataFrame, truth: str, score: str, points: int = 81) -> DataFrame:
+    """Macro-F1 of every neutral band (low, high], low <= high on a grid over [-1, 1].
+
+    Labels are counted at or below each grid point once, so a band costs its three labels and not the rows.
+    """
+    step = 2.0 / (points - 1)
+    least = F.ceil((F.col(score) + 1) / step - 1e-9).cast("int")  # the first point at or above a score
+    counts = scored.groupBy(F.greatest(least, F.lit(0)).alias("at")).agg(*[F.count_if(F.col(truth) == v).alias(f"c{v + 1}") for v in (-1, 0, 1)])
+    grid = scored.sparkSession.range(points).select(F.col("id").cast("int").alias("g"))
+    upto = grid.join(F.broadcast(counts), F.col("at") <= F.col("g"), "left").groupBy("g").agg(*[F.coalesce(F.sum(f"c{k}"), F.lit(0)).alias(f"c{k}") for k in range(3)])
+    total = counts.agg(*[F.sum(f"c{k}").alias(f"t{k}") for k in range(3)])
+    low, high = (upto.select(F.col("g").alias(n), *[F.col(f"c{k}").alias(f"{n}{k}") for k in range(3)]) for n in ("low", "high"))
+    met = low.join(F.broadcast(high), F.col("low") <= F.col("high")).join(F.broadcast(total))
+    hit = {0: F.col("low0"), 1: F.col("high1") - F.col("low1"), 2: F.col("t2") - F.col("high2")}
+    said = {0: sum(F.col(f"low{k}") for k in range(3)), 1: sum((F.col(f"high{k}") - F.col(f"low{k}") for k in range(3)), F.lit(0)), 2: sum((F.col(f"t{k}") - F.col(f"high{k}") for k in range(3)), F.lit(0))}
+    f1 = [F.when(said[k] + F.col(f"t{k}") > 0, 2 * hit[k] / (said[k] + F.col(f"t{k}"))).otherwise(0.0) for k in range(3)]
+    point = lambda c: (F.col(c) * step - 1.0).alias(c)
+    return met.select(point("low"), point("high"), ((f1[0] + f1[1] + f1[2]) / 3).alias("macro_f1"))
+
+
+def best_band(grid: DataFrame) -> DataFrame:
+    """The band of the largest macro-F1; of equals the lowest low, then the lowest high."""
+    return grid.orderBy(F.desc(F.round("macro_f1", 12)), "low", "high").limit(1)
 
 
 def mcnemar_cells(rows: DataFrame, first: Column, second: Column) -> DataFrame:

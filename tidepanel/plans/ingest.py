@@ -1,4 +1,4 @@
-"""Queries of the ingest and of the tests over the panel."""
+"""Queries of the ingest and of the bootstrap over groups."""
 
 from __future__ import annotations
 
@@ -10,15 +10,16 @@ from tidepanel.plans.registry import query
 from tidepanel.sources import news
 
 #: Pages as raw records: the stamp is made from the identifier, and some are no dates.
-RAW_SQL = """raw AS (SELECT *, CASE WHEN page_id % 7 = 0 THEN 'n/a' ELSE '2024-01-' || lpad((1 + page_id % 31)::VARCHAR, 2, '0') || ' UTC' END AS stamp FROM pages)"""
-FLAGGED_SQL = f"""{RAW_SQL}, hosts AS (SELECT page_id, stamp, 1 + page_id % 31 AS day, {Q.HOST_SQL} AS host FROM raw),
-flagged AS (SELECT page_id, CASE WHEN stamp = 'n/a' THEN 'bad_stamp' WHEN host IS NULL OR NOT (host IN ('example.com', 'example.net') OR host LIKE '%.example.com' OR host LIKE '%.example.net') THEN 'wrong_host'
+RAW_SQL = """raw AS (SELECT *, CASE page_id % 7 WHEN 0 THEN 'n/a' WHEN 1 THEN '2024-01-02' WHEN 2 THEN '2024-01-02 UTC' WHEN 3 THEN '2024-01-02 00:00:00' ELSE '2024-01-' || lpad((1 + page_id % 31)::VARCHAR, 2, '0') || ' 10:00:00 UTC' END AS stamp FROM pages)"""
+FLAGGED_SQL = rf"""{RAW_SQL}, hosts AS (SELECT page_id, stamp, 1 + page_id % 31 AS day, {Q.HOST_SQL} AS host FROM raw),
+flagged AS (SELECT page_id, CASE WHEN NOT regexp_full_match(stamp, '\d{{4}}-\d{{2}}-\d{{2}} \d{{2}}:\d{{2}}:\d{{2}} UTC') THEN 'bad_stamp' WHEN host IS NULL OR NOT (host IN ('example.com', 'example.net') OR host LIKE '%.example.com' OR host LIKE '%.example.net') THEN 'wrong_host'
   WHEN day > 20 THEN 'out_of_window' END AS reason, day FROM hosts)"""
 
 
 def raw_pages(spark, sf_dir):
     day = F.lpad((1 + F.col("page_id") % 31).cast("string"), 2, "0")
-    stamp = F.when(F.col("page_id") % 7 == 0, "n/a").otherwise(F.concat(F.lit("2024-01-"), day, F.lit(" UTC")))
+    odd = F.col("page_id") % 7
+    stamp = F.when(odd == 0, "n/a").when(odd == 1, "2024-01-02").when(odd == 2, "2024-01-02 UTC").when(odd == 3, "2024-01-02 00:00:00").otherwise(F.concat(F.lit("2024-01-"), day, F.lit(" 10:00:00 UTC")))
     raw = Q.read(spark, sf_dir, "pages").select("page_id", stamp.alias("stamp"), F.col("url").alias("text"), F.lit("a, b,,").alias("tickers"), "url")
     return news.flagged(raw, Q.DOMAINS, "2024-01-01", "2024-01-20")
 
@@ -33,25 +34,17 @@ def ingest_rows(spark, sf_dir):
     return news.parsed(raw_pages(spark, sf_dir)).select("page_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.array_join("tickers", "|").alias("tickers"))
 
 
-@query("circular_shift", f"""WITH {Q.KEPT}, o AS (SELECT row_number() OVER (ORDER BY pos) - 1 AS r, z_s, ret_lead1 FROM kept), m AS (SELECT count(*) AS n FROM o)
-SELECT k.k, round(regr_slope(a.ret_lead1, b.z_s), 9) AS coefficient FROM m, range((SELECT n FROM m)) k(k) JOIN o a ON TRUE JOIN o b ON b.r = (a.r + k.k) % m.n GROUP BY 1""")
-def circular_shift(spark, sf_dir):
-    return inference.shift_coefficients(Q.kept_rows(spark, sf_dir), "z_s", "ret_lead1").select("k", F.round("coefficient", 9).alias("coefficient"))
-
-
-@query("wald_joint")
-def wald_joint(spark, sf_dir):
-    beta, cov = stats.hac_covariance(Q.kept_rows(spark, sf_dir), Q.XS, "ret_lead1", Q.LAGS)
-    return spark.createDataFrame([(2, *inference.wald(beta, cov, [1, 2]))], "df int, statistic double, p double")
-
-
-@query("halves")
-def halves(spark, sf_dir):
-    return spark.createDataFrame(inference.halves(Q.kept_rows(spark, sf_dir), Q.XS, "ret_lead1", Q.LAGS, "z_s"), "part string, sessions long, coefficient double, error double, p double")
+@query("bad_stamps", f"WITH {RAW_SQL} SELECT stamp, count(*) AS n FROM raw WHERE page_id % 7 < 4 GROUP BY 1 ORDER BY 1 LIMIT 3")
+def bad_stamps(spark, sf_dir):
+    return news.bad_stamps(raw_pages(spark, sf_dir))
 
 
 @query("group_bootstrap")
 def group_bootstrap(spark, sf_dir):
-    rows = Q.judged(spark, sf_dir).select("quality", F.col("long"), (F.col("score") > 0).cast("int").alias("up"), (F.col("doc_id") % 50).alias("g"))
-    drawn = inference.group_bootstrap(rows, "quality", "up", "long", "g", [0, 1])
-    return drawn.agg(F.max(F.when(F.col("draw") < 0, F.col("difference"))).alias("difference"), *[F.expr(f"percentile(CASE WHEN draw >= 0 THEN difference END, {q})").alias(n) for n, q in (("low", 0.025), ("high", 0.975))])
+    """10,000 draws of whole groups (stand-ins: the identifier modulo 50), three classes; the interval of either difference."""
+    from tidepanel.plans import corpus
+
+    rows = corpus.truths(spark, sf_dir).select("truth", stats.banded(F.col("score"), -0.1, 0.1).alias("first"), F.col("other").alias("second"), (F.col("doc_id") % 50).alias("g"))
+    drawn = inference.group_bootstrap(rows, "truth", "first", "second", "g", [-1, 0, 1])
+    ends = lambda c: [F.max(F.when(F.col("draw") < 0, F.col(c))).alias(c), *[F.expr(f"percentile(CASE WHEN draw >= 0 THEN {c} END, {q})").alias(f"{c}_{n}") for n, q in (("low", 0.025), ("high", 0.975))]]
+    return drawn.agg(*ends("difference"), *ends("accuracy"))

@@ -29,6 +29,18 @@ def dated_documents(spark, sf_dir):
     return docs.where(F.col("text_norm") != "")
 
 
+def stamped_documents(spark, sf_dir):
+    """Documents as rows(id, ts, text_norm, tickers): a stamp made from the identifier; of every seventh a near copy a day later, with a word more."""
+    docs = dated_documents(spark, sf_dir).select("doc_id", "text_norm", "day")
+    second = F.make_dt_interval(secs=F.pmod(F.col("doc_id") * 7919, F.lit(86400)).cast("decimal(18,6)"))
+    tags = F.array(F.concat(F.lit("T"), (F.col("doc_id") % 11).cast("string")), F.concat(F.lit("T"), (F.col("doc_id") % 3).cast("string")))
+    rows = docs.select(F.col("doc_id").alias("own"), (F.col("day").cast("timestamp_ntz") + second).alias("ts"), "text_norm", F.array_sort(F.array_distinct(tags)).alias("tickers"))
+    copies = rows.where("own % 7 = 0").select(
+        (F.col("own") + 1_000_000_000).alias("own"), (F.col("ts") + F.expr("INTERVAL '1' DAY")).alias("ts"), F.concat("text_norm", F.lit(" zz"), (F.col("own") % 5).cast("string")).alias("text_norm"), "tickers"
+    )
+    return dedup.numbered(rows.unionByName(copies), "ts", "own").withColumnRenamed("source_row_id", "id")
+
+
 def scored_orders(spark, sf_dir, defer=True):
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", (F.col("o_totalprice") / 500000.0).alias("score"))
     return sessions.map_dates(orders, calendar(spark), "o_orderdate", defer)
@@ -46,7 +58,7 @@ def whole_panel(spark, sf_dir):
 
 
 def kept_rows(spark, sf_dir):
-    rows = stats.eligible(whole_panel(spark, sf_dir)).where("reason IS NULL")
+    rows = whole_panel(spark, sf_dir).where("n > 0 AND d IS NOT NULL AND ret_lag1 IS NOT NULL AND volume_gap IS NOT NULL AND ret_lead1 IS NOT NULL")
     return stats.standardized(rows, ["s", "d", "ret_lag1", "volume_gap"])
 
 
@@ -67,11 +79,10 @@ panel AS (SELECT daily.*, m.* EXCLUDE (session),
   CASE WHEN count(log_volume) OVER t = 63 THEN log_volume - avg(log_volume) OVER t END AS volume_gap,
   lag(ret) OVER o AS ret_lag1, lag(range_var) OVER o AS range_var_lag1, lag(log_volume) OVER o AS log_volume_lag1,
   lead(ret, 1) OVER o AS ret_lead1, lead(ret, 2) OVER o AS ret_lead2, lead(ret, 3) OVER o AS ret_lead3, lead(ret, 4) OVER o AS ret_lead4, lead(ret, 5) OVER o AS ret_lead5
-  FROM daily JOIN market m USING (session) WINDOW o AS (ORDER BY session), t AS (ORDER BY session ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)),
-flagged AS (SELECT *, CASE WHEN n = 0 THEN 'no_events' WHEN d IS NULL THEN 'no_dispersion' WHEN ret_lag1 IS NULL THEN 'no_lag' WHEN volume_gap IS NULL THEN 'no_volume' WHEN ret_lead1 IS NULL THEN 'no_lead' END AS reason FROM panel)"""
+  FROM daily JOIN market m USING (session) WINDOW o AS (ORDER BY session), t AS (ORDER BY session ROWS BETWEEN 62 PRECEDING AND CURRENT ROW))"""
 KEPT = f"""{PANEL}, kept AS (SELECT *, (s - avg(s) OVER ()) / stddev_samp(s) OVER () AS z_s, (d - avg(d) OVER ()) / stddev_samp(d) OVER () AS z_d,
   (ret_lag1 - avg(ret_lag1) OVER ()) / stddev_samp(ret_lag1) OVER () AS z_ret_lag1, (volume_gap - avg(volume_gap) OVER ()) / stddev_samp(volume_gap) OVER () AS z_volume_gap
-  FROM flagged WHERE reason IS NULL)"""
+  FROM panel WHERE n > 0 AND d IS NOT NULL AND ret_lag1 IS NOT NULL AND volume_gap IS NOT NULL AND ret_lead1 IS NOT NULL)"""
 #: Decimals that both engines' sums share; means of prices need more, lest a tie is rounded apart.
 ROUND, PLACES = 7, {"s": 11, "d": 11}
 
@@ -169,23 +180,66 @@ def repeated_texts(spark, sf_dir):
     return top.select(F.md5(F.col("text").cast("binary")).alias("text_md5"), "n")
 
 
-EXACT = f"""{DOCS}, f AS (SELECT text_norm, day, min(doc_id) AS first FROM docs GROUP BY 1, 2), g AS (SELECT *, row_number() OVER (PARTITION BY text_norm ORDER BY day) AS k FROM f),
-walk AS (SELECT text_norm, k, day, first AS anchor, day AS since FROM g WHERE k = 1
-  UNION ALL SELECT g.text_norm, g.k, g.day, CASE WHEN g.day - w.since > 3 THEN g.first ELSE w.anchor END, CASE WHEN g.day - w.since > 3 THEN g.day ELSE w.since END
-  FROM walk w JOIN g ON g.text_norm = w.text_norm AND g.k = w.k + 1)"""
-
-
-@query("exact_dedup", f"WITH RECURSIVE {EXACT} SELECT doc_id, anchor, doc_id = anchor AS kept FROM docs JOIN walk USING (text_norm, day)")
+STAMPED = f"""{DOCS}, base AS (SELECT doc_id AS own, day::TIMESTAMP + to_seconds(doc_id * 7919 % 86400) AS ts, text_norm, list_sort(list_distinct(['T' || doc_id % 11, 'T' || doc_id % 3])) AS tickers FROM docs),
+stamped AS MATERIALIZED (SELECT row_number() OVER (ORDER BY ts, own) - 1 AS id, * FROM (SELECT * FROM base UNION ALL
+  SELECT own + 1000000000, ts + INTERVAL 1 DAY, text_norm || ' zz' || own % 5, tickers FROM base WHERE own % 7 = 0))"""
+EXACT = f"""{STAMPED}, f AS (SELECT text_norm, ts, min(id) AS first FROM stamped GROUP BY 1, 2), g AS (SELECT *, row_number() OVER (PARTITION BY text_norm ORDER BY ts) AS k FROM f),
+walk AS (SELECT text_norm, k, ts, first AS anchor, ts AS since FROM g WHERE k = 1
+  UNION ALL SELECT g.text_norm, g.k, g.ts, CASE WHEN g.ts > w.since + INTERVAL 3 DAY THEN g.first ELSE w.anchor END, CASE WHEN g.ts > w.since + INTERVAL 3 DAY THEN g.ts ELSE w.since END
+  FROM walk w JOIN g ON g.text_norm = w.text_norm AND g.k = w.k + 1),
+exacts AS MATERIALIZED (SELECT id, own, stamped.ts, stamped.text_norm, tickers, anchor, id = anchor AS kept FROM stamped JOIN walk ON walk.text_norm = stamped.text_norm AND walk.ts = stamped.ts)"""
+PAIRS = f"""{EXACT}, t AS MATERIALIZED (SELECT id, ts, list_sort(list_distinct(string_split(text_norm, ' '))) AS tokens FROM exacts WHERE kept),
+p AS (SELECT a.id AS cur, b.id AS cand, a.tokens AS x, b.tokens AS y FROM t a JOIN t b ON abs(len(a.tokens) - len(b.tokens)) <= 1 AND b.id < a.id AND a.ts <= b.ts + INTERVAL 3 DAY),
+q AS (SELECT *, len(list_intersect(x, y)) AS k FROM p),
+pairs AS MATERIALIZED (SELECT cur, cand, CASE WHEN len(x) = k THEN 0 ELSE list_position(x, list_filter(x, lambda e: NOT list_contains(y, e))[1]) END::INT AS ordinal
+  FROM q WHERE len(x) - k <= 1 AND len(y) - k <= 1 AND 100 * k >= 90 * greatest(len(x), len(y)))"""
+#: Rows with candidates one after another, each with the list of those dropped so far.
+LINEAGE = f"""{PAIRS}, curs AS (SELECT cur, row_number() OVER (ORDER BY cur) AS k, list(cand) AS cands FROM pairs GROUP BY cur),
+fate AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS gone
+  UNION ALL SELECT c.k, CASE WHEN len(list_filter(c.cands, lambda x: NOT list_contains(f.gone, x))) > 0 THEN list_append(f.gone, c.cur) ELSE f.gone END FROM fate f JOIN curs c ON c.k = f.k + 1),
+gone AS (SELECT unnest(gone) AS id FROM (SELECT gone FROM fate ORDER BY k DESC LIMIT 1)),
+near AS (SELECT cur AS id, arg_min(cand, ordinal * 1000000000000 + cand) AS root FROM pairs WHERE cur IN (FROM gone) AND cand NOT IN (FROM gone) GROUP BY 1),
+lineage AS MATERIALIZED (SELECT e.id, own, tickers, text_norm, CASE WHEN NOT kept THEN 'exact' WHEN root IS NOT NULL THEN 'near' END AS step, CASE WHEN NOT kept THEN anchor ELSE root END AS eliminated_by, coalesce(root, anchor) AS cluster
+  FROM exacts e LEFT JOIN near ON near.id = e.anchor)"""
+
+
+@query("exact_dedup", f"WITH RECURSIVE {EXACT} SELECT id, anchor, kept FROM exacts")
 def exact_dedup(spark, sf_dir):
-    return dedup.exact(dated_documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text_norm", "day")).select(F.col("id").alias("doc_id"), "anchor", "kept")
+    return dedup.exact(stamped_documents(spark, sf_dir).select("id", "ts", "text_norm")).select("id", "anchor", "kept")
 
 
-@query("near_dup_pairs", f"""WITH RECURSIVE {EXACT}, t AS (SELECT doc_id AS id, docs.day, list_distinct(string_split(docs.text_norm, ' ')) AS tokens FROM docs JOIN walk USING (text_norm, day) WHERE doc_id = anchor),
-p AS (SELECT a.id AS cur, b.id AS cand, a.tokens AS x, b.tokens AS y FROM t a JOIN t b ON abs(len(a.tokens) - len(b.tokens)) <= 1 AND a.day - b.day BETWEEN 0 AND 3 AND (b.day < a.day OR b.id < a.id)),
-q AS (SELECT *, len(list_intersect(x, y)) AS k FROM p) SELECT cur, cand FROM q WHERE len(x) - k <= 1 AND len(y) - k <= 1 AND 100 * k >= 90 * greatest(len(x), len(y))""")
+@query("near_dup_pairs", f"WITH RECURSIVE {PAIRS} SELECT * FROM pairs")
 def near_dup_pairs(spark, sf_dir):
-    rows = dedup.exact(dated_documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text_norm", "day"))
-    return dedup.near_pairs(rows.where("kept").select("id", "text_norm", "day"))
+    rows = dedup.exact(stamped_documents(spark, sf_dir).select("id", "ts", "text_norm"))
+    return dedup.near_pairs(rows.where("kept").select("id", "ts", "text_norm"))
+
+
+@query("dedup_lineage", f"WITH RECURSIVE {LINEAGE} SELECT id, step IS NULL AS kept, step, eliminated_by, cluster FROM lineage")
+def dedup_lineage(spark, sf_dir):
+    return dedup.lineage(stamped_documents(spark, sf_dir))
+
+
+@query("dedup_clusters", f"""WITH RECURSIVE {LINEAGE} SELECT cluster AS id, count(*) AS members, array_to_string(list_sort(list_distinct(flatten(list(tickers)))), '|') AS tickers FROM lineage GROUP BY 1""")
+def dedup_clusters(spark, sf_dir):
+    rows = stamped_documents(spark, sf_dir)
+    return dedup.clusters(rows, dedup.lineage(rows)).withColumn("tickers", F.array_join("tickers", "|"))
+
+
+@query("dedup_statistics", f"""WITH RECURSIVE {LINEAGE} SELECT count(*) AS rows, count(*) FILTER (step = 'exact') AS exact_dropped, count(*) FILTER (step = 'near') AS near_dropped, count(*) FILTER (step IS NULL) AS kept,
+count(*) FILTER (step = 'exact' AND eliminated_by <> cluster) AS two_steps, avg((len(list_distinct(string_split(text_norm, ' '))) >= 20)::INT::DOUBLE) FILTER (step IS DISTINCT FROM 'exact') AS blind_share, 20 AS missable_length FROM lineage""")
+def dedup_statistics(spark, sf_dir):
+    rows = stamped_documents(spark, sf_dir)
+    return dedup.statistics(rows, dedup.lineage(rows))
+
+
+@query("article_groups", f"""WITH RECURSIVE w AS (SELECT item_id AS id, list_sort(list_distinct(string_split({NORM_SQL}, ' '))) AS tokens FROM benchmark), b AS (SELECT * FROM w UNION ALL SELECT id + 1000000, list_append(tokens, 'zz') FROM w WHERE id % 3 = 0),
+e AS (SELECT x.id AS a, y.id AS b FROM b x JOIN b y ON 100 * len(list_intersect(x.tokens, y.tokens)) >= 90 * greatest(len(x.tokens), len(y.tokens))),
+r AS (SELECT a AS id, a AS comp FROM e UNION SELECT e.b, r.comp FROM r JOIN e ON e.a = r.id), c AS (SELECT id, min(comp) AS first FROM r GROUP BY 1)
+SELECT id, dense_rank() OVER (ORDER BY first) - 1 AS group_id FROM c""")
+def article_groups(spark, sf_dir):
+    rows = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), T.normalized(F.col("text")).alias("text_norm"))
+    near = rows.where("id % 3 = 0").select((F.col("id") + 1_000_000).alias("id"), F.concat("text_norm", F.lit(" zz")).alias("text_norm"))
+    return dedup.article_groups(rows.unionByName(near))
 
 
 @query("lexicon_score", f"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z'']+') AS w FROM documents),
@@ -232,11 +286,6 @@ def daily_panel(spark, sf_dir):
     return rounded(whole_panel(spark, sf_dir).select(named_day("session"), "n", *PANEL_COLS), *PANEL_COLS)
 
 
-@query("eligibility_ledger", f"WITH {PANEL} SELECT coalesce(reason, 'kept') AS reason, count(*) AS sessions FROM flagged GROUP BY 1")
-def eligibility_ledger(spark, sf_dir):
-    return stats.ledger(stats.eligible(whole_panel(spark, sf_dir)))
-
-
 _X = ["1.0::DOUBLE", *XS]
 NORMAL = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, round(sum(({a}) * ({b})), 5) AS value FROM kept" for i, a in enumerate(_X) for j, b in [*enumerate(_X), (-1, "ret_lead1")] if j == -1 or j >= i)
 
@@ -246,17 +295,12 @@ def normal_equations(spark, sf_dir):
     return stats.normal_equations(kept_rows(spark, sf_dir), XS, "ret_lead1").select("i", "j", F.round("value", 5).alias("value"))
 
 
-@query("hac_primary")
-def hac_primary(spark, sf_dir):
-    found = stats.hac_errors(kept_rows(spark, sf_dir), XS, "ret_lead1", LAGS)
-    return spark.createDataFrame([(n, b, e, b / e) for n, b, e in found], "term string, coefficient double, error double, z double")
-
-
-@query("meat_of_products", f"""WITH {KEPT}, g AS (SELECT pos, z_s * ret_lead1 AS a FROM kept), l AS (SELECT x.a * y.a AS p, x.pos - y.pos AS lag FROM g x JOIN g y ON x.pos - y.pos BETWEEN 0 AND {LAGS})
-SELECT round(sum(CASE WHEN lag = 0 THEN p ELSE 2 * (1 - lag / {LAGS + 1}.0::DOUBLE) * p END), 7) AS value FROM l""")
+@query("meat_of_products", f"""WITH {KEPT}, g AS (SELECT pos, ret_lead1 AS g0, z_s * ret_lead1 AS g1, z_d * ret_lead1 AS g2 FROM kept), c AS (SELECT i::INT AS i, j::INT AS j FROM range(3) a(i), range(3) b(j) WHERE i <= j),
+l AS (SELECT x.pos - y.pos AS lag, [x.g0, x.g1, x.g2] AS x, [y.g0, y.g1, y.g2] AS y FROM g x JOIN g y ON x.pos - y.pos BETWEEN 0 AND {LAGS})
+SELECT i, j, round(sum(CASE WHEN lag = 0 THEN x[i + 1] * y[j + 1] ELSE (1 - lag / {LAGS + 1}.0::DOUBLE) * (x[i + 1] * y[j + 1] + y[i + 1] * x[j + 1]) END), 7) AS value FROM l, c GROUP BY 1, 2""")
 def meat_of_products(spark, sf_dir):
-    meat = stats.hac_meat(kept_rows(spark, sf_dir), ["z_s"], "ret_lead1", [0.0, 0.0], LAGS)
-    return meat.where("i = 1 AND j = 1").select(F.round("value", 7).alias("value"))
+    meat = stats.hac_meat(kept_rows(spark, sf_dir), ["z_s", "z_d"], "ret_lead1", [0.0, 0.0, 0.0], LAGS)
+    return meat.select("i", "j", F.round("value", 7).alias("value"))
 
 
 @query("acf", f"""WITH {PANEL}, c AS (SELECT row_number() OVER (ORDER BY session) AS r, s - avg(s) OVER () AS c FROM panel WHERE s IS NOT NULL),
@@ -294,13 +338,6 @@ def confusion(spark, sf_dir):
     return stats.confusion(judged(spark, sf_dir), "quality", "long")
 
 
-@query("threshold_grid", f"""WITH {JUDGED}, g AS (SELECT i / 40.0::DOUBLE AS cut FROM range(-40, 41) q(i))
-SELECT cut, round(2.0 * sum(CASE WHEN score >= cut THEN quality ELSE 0 END) / nullif(sum((score >= cut)::INT) + sum(quality), 0), 9) AS f1 FROM g, judged GROUP BY 1""")
-def threshold_grid(spark, sf_dir):
-    cuts = spark.range(-40, 41).select((F.col("id") / 40.0).alias("cut"))
-    return stats.f1_grid(judged(spark, sf_dir), "quality", "score", cuts).select("cut", F.round("f1", 9).alias("f1"))
-
-
 @query("mcnemar_cells", f"""WITH {JUDGED}, b AS (SELECT (score > 0) = (quality = 1) AS x, (long = 1) = (quality = 1) AS y FROM judged)
 SELECT count(*) FILTER (x AND y) AS "both", count(*) FILTER (x AND NOT y) AS first_only, count(*) FILTER (NOT x AND y) AS second_only, count(*) FILTER (NOT x AND NOT y) AS neither FROM b""")
 def mcnemar_cells(spark, sf_dir):

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions import text as T
 
-#: Raw columns by their role.
+#: The raw columns by their role, and the only form of a stamp that is taken.
 COLUMNS = {"stamp": "Date", "text": "Article_title", "tickers": "Stock_symbol", "url": "Url"}
-STAMP = r"^\d{4}-\d{2}-\d{2}( \d{2}:\d{2}:\d{2})?( UTC)?$"
+STAMP = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2} UTC$"
 REASONS = ("bad_stamp", "wrong_host", "empty_text", "out_of_window", "no_words")
 
 
@@ -49,6 +49,11 @@ def flagged(raw: DataFrame, domains: list[str] = (), start: str | None = None, e
     return out.withColumn("reason", reason)
 
 
+def bad_stamps(rows: DataFrame, k: int = 3) -> DataFrame:
+    """The k smallest stamps that break the pattern, with their number."""
+    return rows.where("reason = 'bad_stamp' AND stamp IS NOT NULL").groupBy("stamp").agg(F.count(F.lit(1)).alias("n")).orderBy("stamp").limit(k)
+
+
 def counters(rows: DataFrame) -> DataFrame:
     """(reason, n) of flagged rows; kept for those that stay."""
     return rows.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
@@ -58,3 +63,18 @@ def parsed(rows: DataFrame) -> DataFrame:
     """The rows that stay, with their identity and tickers (split at commas, trimmed, upper case, blanks dropped)."""
     tickers = F.filter(F.transform(F.split(F.coalesce("tickers", F.lit("")), ","), lambda t: F.upper(F.trim(t))), lambda t: t != "")
     return rows.where("reason IS NULL").withColumns({"tickers": tickers, "headline_id": T.identity(F.col("text_norm"), F.col("ts"))}).drop("reason", "stamp", "url")
+
+
+def load(spark: SparkSession, path: str, domains: list[str] = (), start: str | None = None, end: str | None = None, zone: str = "America/New_York") -> DataFrame:
+    """The rows that stay, in time order: source_row_id counts them from 0 by stamp and then by the hash of the record, and ts_et is the market's clock."""
+    from tidepanel.operators import dedup
+
+    rows = parsed(flagged(scan(spark, path), domains, start, end))
+    rows = rows.withColumn("_tie", F.md5(F.concat_ws("|", "headline_id", "host", F.array_join("tickers", ","))))
+    return dedup.numbered(rows, "ts", "_tie").drop("_tie").withColumn("ts_et", F.from_utc_timestamp(F.col("ts").cast("timestamp"), zone))
+
+
+def lenient(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Some columns of a CSV slice; records that break its form are left out."""
+    head = spark.read.option("header", True).csv(path).schema
+    return spark.read.schema(head).option("header", True).option("multiLine", True).option("escape", '"').option("mode", "DROPMALFORMED").csv(path).select(*[F.col(f"`{c}`") for c in columns])
