@@ -8,7 +8,7 @@ documents in the order of a seeded hash until the rest of the target is met.
 The fractional pass never orders a source's documents: their hashes fall into ``BUCKETS`` buckets, sizes are
 summed by (source, bucket), and a source takes all buckets below its cutoff (whichever cutoff lies nearest the
 target). So a source that holds a third of all rows costs as many rows as buckets, and what is joined back is
-one row a source.
+one row a source. Running sums over sources are made by ranges of their order, so sources are never all in one task either.
 
 Defined cases: null text has size 0 and is taken 0 times its words; a null source is a source of its own, last
 in order; rows that repeat entirely fall into one bucket and share their fate; an empty table gives no rows; sources of
@@ -33,35 +33,41 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def water_fill(sources: DataFrame, budget: Column | float, max_epochs: float) -> DataFrame:
+def running(rows: DataFrame, order: list[Column], sums: list[str]) -> DataFrame:
+    """rows with n_before (rows before, in the order) and <c>_before (their sum) of some columns: ranges of the order are summed each in a task of its own,
+    and only a row a range meets in one place. The order has to be total."""
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = common.saved(rows.repartitionByRange(ranges, *order).withColumn("_part", F.spark_partition_id()), "mix-ranges")
+    parts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in sums])
+    earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    base = parts.select(F.col("_part"), *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}_base") for c in ("n", *sums)])
+    inside = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    own = placed.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_{c}_own") for c in sums], (F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1).alias("_n_own"))
+    out = own.join(F.broadcast(base), "_part")
+    return out.select(*rows.columns, *[(F.col(f"_{c}_base") + F.col(f"_{c}_own")).alias(f"{c}_before") for c in ("n", *sums)])
+
+
+def water_fill(sources: DataFrame, budget: float, max_epochs: float) -> DataFrame:
     """sources(source, weight, source_size) with target. One row a source.
 
     Sorted by cap over weight, the clamped sources are a prefix: a source is clamped when its fair share, of what the
     sources before it have left, reaches its cap. This is the fixed point of clamping and resharing.
     """
-    order = W.orderBy(F.col("_cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    after = order.rowsBetween(0, W.unboundedFollowing)
-    shares = (
-        sources.withColumn("_cap", F.col("source_size") * F.lit(float(max_epochs)))
-        .withColumn("_budget", budget if isinstance(budget, Column) else F.lit(float(budget)))
-        .withColumn("_left", F.col("_budget") - F.coalesce(F.sum("_cap").over(before), F.lit(0.0)))
-        .withColumn("_level", F.col("_left") / F.sum("weight").over(after))
-        .withColumn("_clamped", F.col("_level") * F.col("weight") >= F.col("_cap"))
-    )
-    level = F.max(F.when(~F.col("_clamped"), F.col("_level"))).over(W.partitionBy())
-    return (
-        shares.withColumn("_all", level)
-        .withColumn("target", F.when(F.col("_clamped"), F.col("_cap")).otherwise(F.col("_all") * F.col("weight")))
-        .drop("_cap", "_budget", "_left", "_level", "_clamped", "_all")
-    )
+    capped = sources.withColumn("_cap", F.col("source_size") * F.lit(float(max_epochs)))
+    weights = capped.agg(F.sum("weight")).first()[0] or 0.0
+    summed = running(capped, [F.col("_cap") / F.col("weight"), F.col("source").asc_nulls_last()], ["_cap", "weight"])
+    level = (F.lit(float(budget)) - F.col("_cap_before")) / (F.lit(float(weights)) - F.col("weight_before"))
+    shares = common.saved(summed.withColumn("_level", level).withColumn("_clamped", F.col("_level") * F.col("weight") >= F.col("_cap")), "mix-levels")
+    all_ = shares.agg(F.max(F.when(~F.col("_clamped"), F.col("_level")))).first()[0]
+    open_ = F.lit(None).cast("double") if all_ is None else F.lit(float(all_)) * F.col("weight")
+    return shares.select(*sources.columns, F.when(F.col("_clamped"), F.col("_cap")).otherwise(open_).alias("target"))
 
 
 def cycle_weights(sources: DataFrame, weights: tuple[float, ...]) -> DataFrame:
     """Weights in the order of the sources' code points, null last, repeating."""
-    rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
     values = F.array(*[F.lit(float(w)) for w in weights])
-    return sources.withColumn("weight", F.element_at(values, (rank % len(weights) + 1).cast("int")))
+    ranked = running(sources, [F.col("source").asc_nulls_last()], [])
+    return ranked.select(*sources.columns, F.element_at(values, (F.col("n_before") % len(weights) + 1).cast("int")).alias("weight"))
 
 
 def plan(thin: DataFrame, weights, share: float, max_epochs: float) -> DataFrame:
@@ -71,9 +77,8 @@ def plan(thin: DataFrame, weights, share: float, max_epochs: float) -> DataFrame
     """
     buckets = common.saved(thin.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "mix-buckets")
     sources = buckets.groupBy("source").agg(F.sum("words").alias("source_size"))
-    total = F.sum("source_size").over(W.partitionBy())
-    filled = cycle_weights(sources, weights).withColumn("_total", total)
-    filled = water_fill(filled, F.col("_total") * F.lit(float(share)), max_epochs).drop("_total", "weight")
+    total = buckets.agg(F.sum("words")).first()[0] or 0
+    filled = water_fill(cycle_weights(sources, weights), total * share, max_epochs).drop("weight")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     filled = filled.withColumn("_whole", F.floor(ratio)).withColumn("_need", F.col("target") - F.col("_whole") * F.col("source_size"))
     running = W.partitionBy("source").orderBy("bucket")

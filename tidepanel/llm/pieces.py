@@ -7,7 +7,8 @@ is empty. Symbols that are no piece fall back to bytes.
 Texts are cut where no piece of the vocabulary reaches over (``SEGMENTS``, checked against every piece when the model
 is loaded; else texts stay whole), so segments are independent and each distinct one is encoded once a worker
 while it is remembered. New segments of an Arrow batch have their agendas popped side by side, and are also encoded by
-the sentencepiece library, as is a whole text now and then; a difference stops the job.
+the sentencepiece library: those that begin with the space mark as they are, others behind a prefix that ends in a cut. One text in
+``WHOLE_EVERY`` of a batch, its first at least, is also encoded and decoded whole by the library. A difference stops the job.
 
 Defined cases: null text is empty, an empty text has no ids; texts of any length are taken whole; rows that repeat
 give the same ids; an empty table gives no rows; other columns pass through.
@@ -69,6 +70,7 @@ class Pieces:
         self.known: dict[str, str] = {}
         self.older: dict[str, str] = {}
         self.respelled: set[str] = set()  # segments that don't decode to themselves (unknown symbols)
+        self.prefixes = [(p, self.segments(p), lib.encode(p)) for p in ("a", "a.", "a1")]
 
     def merge(self, segment: str) -> list[int]:
         """Ids of one segment by an agenda of its own."""
@@ -194,12 +196,13 @@ class Pieces:
         again = {s for s in new if s in self.older}
         self.known.update((s, self.older[s]) for s in again)
         todo = list(new - again)
-        # The library puts a mark before every text: after one, a segment stands as it does here.
-        theirs = self.library.encode([s[1:].replace(MARK, " ") if s[0] == MARK else s for s in todo], num_threads=1)
-        for s, ids, other in zip(todo, self.merge_all(todo), theirs, strict=True):
-            if s[0] == MARK and ids != other and s != MARK:
+        # The library puts a mark before every text: after one, a segment stands as it does here. Others stand behind a prefix.
+        before = [None if s[0] == MARK else next((p for p in self.prefixes if self.segments(p[0] + s) == [*p[1], s]), ("", [], [])) for s in todo]
+        theirs = self.library.encode([s[1:].replace(MARK, " ") if p is None else p[0] + s for s, p in zip(todo, before, strict=True)], num_threads=1)
+        for s, ids, other, p in zip(todo, self.merge_all(todo), theirs, before, strict=True):
+            if p is None and ids != other and s != MARK:
                 raise ValueError(f"the agenda and the sentencepiece library differ on {s!r}: {ids} and {other}")
-            if s[0] != MARK and self.spelled(other).removeprefix(MARK) != self.spelled(ids):
+            if p is not None and (other != p[2] + ids if p[0] else self.spelled(other).removeprefix(MARK) != self.spelled(ids)):
                 raise ValueError(f"the agenda and the sentencepiece library differ on {s!r}: {ids} and {other}")
             if "".join([self.pieces[i] for i in ids]) != s and self.spelled(ids) != s:
                 self.respelled.add(s)
@@ -226,7 +229,8 @@ class Pieces:
             self.learn(set().union(*part))
             out += map(self._joined, part)
         for k in range(0, len(texts), WHOLE_EVERY):
-            if out[k][0] != ",".join(map(str, self.library.encode(texts[k]))):
+            ids = self.library.encode(texts[k])
+            if out[k] != (",".join(map(str, ids)), self.library.decode(ids)):
                 raise ValueError(f"the agenda and the sentencepiece library differ on text {k} of a batch")
         return out
 
