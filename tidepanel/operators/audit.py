@@ -186,3 +186,16 @@ def trailing(day: DataFrame, value: str, windows: tuple[int, ...] = (21, 63)) ->
 def line(rows: DataFrame, y: str, x: str) -> DataFrame:
     """Slope, intercept, correlation and rows of a straight line."""
     return rows.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.corr(y, x).alias("corr"), F.regr_count(y, x).alias("n"))
+
+
+def census(events: DataFrame, days: DataFrame, tags: str = "tickers", ok: Column | None = None) -> dict[str, DataFrame]:
+    """Coverage, concentration of tags, stability by year and the suggested window, all from one mapping of events(session, ...) to sessions."""
+    events = events.persist()
+    counts = events.where("session IS NOT NULL").groupBy("session").agg(F.count(F.lit(1)).alias("n"))
+    day = days.select("session").join(counts, "session", "left").withColumn("n", F.coalesce("n", F.lit(0))).persist()  # a row a session
+    years = stability(day)
+    return {
+        "coverage": coverage(day), "zero_sessions": zero_sessions(day), "concentration": concentration(events.select(F.explode(tags).alias("tag")), "tag"),
+        "stability": years, "window": longest_run(years, F.col("thin_share") < 0.3 if ok is None else ok),
+        "assigned": events.agg(F.count("session").alias("assigned"), F.count_if(F.col("session").isNull()).alias("unassignable")),
+    }

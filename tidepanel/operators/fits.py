@@ -507,3 +507,35 @@ def precision(panel: DataFrame, scorer: str = "a", horizon: int = 1) -> dict:
     kappa = {s: math.sqrt(float(meat(omega[s], LAGS)[0, 0])) / n / (sd_u / math.sqrt(n)) for s in SPACINGS}
     wide = 1.96 * BPS / math.sqrt(n)
     return {"n": n, "sd_r": sd_y, "sd_u": sd_u, "sd_v": sd_v, "r_squared": 1 - sd_v**2, "kappa_session": kappa["session"], "kappa_row": kappa["row"], "h1_bps": wide * sd_y, "h2_bps": wide * sd_u / sd_v * kappa["session"]}
+
+
+# Legacy forms
+
+
+def listwise(rows: DataFrame, xs: list[str], y: str, lags: int = LAGS) -> Fit:
+    """Least squares on the rows that are complete; lags count the rows that stay (the errors named ``row``)."""
+    kept = rows.dropna(subset=[*xs, y])
+    if kept.limit(1).count() == 0:
+        raise ValueError("no complete rows")
+    return fit(kept, xs, y, lags)
+
+
+def contemporaneous(panel: DataFrame, scorer: str = "a", admissible: bool = False, lags: int = LAGS) -> Fit:
+    """The same day's return on tone and lagged controls. Without stamps that show what was known when, it has no meaning and is refused."""
+    if not admissible:
+        raise RuntimeError("same-day fits need intraday stamps; say that they are admissible")
+    xs = [f"s_{scorer}", "ret_lag1", "range_var_lag1", "log_volume_lag1"]
+    lacking = [c for c in xs if c not in panel.columns]
+    if lacking:
+        raise KeyError(f"the panel has no {', '.join(lacking)}; lags are made on the whole calendar")
+    return listwise(panel, xs, "ret", lags)
+
+
+def predictive(panel: DataFrame, scorer: str = "a", horizon: int = 1, lags: int = LAGS) -> Fit:
+    """The later return on raw tone and raw controls, kept beside the primary fit."""
+    return listwise(panel, [f"s_{scorer}", "ret", "range_var", "log_volume"], f"ret_lead{horizon}", lags)
+
+
+def analysis_sample(panel: DataFrame) -> DataFrame:
+    """Sessions, those without events, and those that stay."""
+    return panel.agg(F.count(F.lit(1)).alias("sessions"), F.count_if(F.coalesce(F.col("n"), F.lit(0)) < 1).alias("without_events"), F.count_if(F.col("n") > 0).alias("kept"))

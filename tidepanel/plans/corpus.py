@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidepanel.functions import text as T
-from tidepanel.operators import annotate, audit, dedup, sessions, stats, studies, work
+from tidepanel.operators import annotate, audit, dedup, evaluate, sessions, stats, studies, work
 from tidepanel.plans import queries as Q
 from tidepanel.plans.registry import query
-from tidepanel.sources import scores
+from tidepanel.sources import market, scores
 
 SOURCES = [("shop", "shop"), ("wiki", "wiki"), ("example.com", "example")]
 
@@ -100,11 +100,11 @@ def calendar_difference(spark, sf_dir):
     return audit.calendar_difference(own, Q.calendar(spark)).withColumn("session", F.col("session").cast("string"))
 
 
-@query("trailing_means", f"""WITH {Q.CAL}, {Q.ASSIGNED}, {Q.DAILY} SELECT session::VARCHAR AS session, round(s, 11) AS s, round(avg(s) OVER (ORDER BY session ROWS BETWEEN 20 PRECEDING AND CURRENT ROW), 11) AS mean21,
-round(avg(s) OVER (ORDER BY session ROWS BETWEEN 62 PRECEDING AND CURRENT ROW), 11) AS mean63 FROM daily""")
+@query("trailing_means", f"""WITH {Q.CAL}, {Q.ASSIGNED}, {Q.DAILY} SELECT session::VARCHAR AS session, round(s, 6) AS s, round(avg(s) OVER (ORDER BY session ROWS BETWEEN 20 PRECEDING AND CURRENT ROW), 6) AS mean21,
+round(avg(s) OVER (ORDER BY session ROWS BETWEEN 62 PRECEDING AND CURRENT ROW), 6) AS mean63 FROM daily""")
 def trailing_means(spark, sf_dir):
     rows = audit.trailing(Q.day_frame(spark, sf_dir), "s")
-    return rows.select(F.col("session").cast("string").alias("session"), *[F.round(c, 11).alias(c) for c in ("s", "mean21", "mean63")])
+    return rows.select(F.col("session").cast("string").alias("session"), *[F.round(c, 6).alias(c) for c in ("s", "mean21", "mean63")])
 
 
 @query("dispersion_line", f"WITH {Q.CAL}, {Q.ASSIGNED}, {Q.DAILY} SELECT round(regr_slope(d, s), 8) AS slope, round(regr_intercept(d, s), 8) AS intercept, round(corr(d, s), 8) AS corr, regr_count(d, s)::BIGINT AS n FROM daily")
@@ -280,12 +280,51 @@ def label_problems(spark, sf_dir):
     return annotate.label_problems(own.select("id", "label").unionByName(more), Q.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), (0, 1))
 
 
+@query("per_class", f"""WITH {LADDER}, k AS (SELECT unnest([-1, 0, 1]) AS class) SELECT scorer, class, round(CASE WHEN count(*) FILTER (pred = class) > 0 THEN count(*) FILTER (truth = class AND pred = class) / count(*) FILTER (pred = class)::DOUBLE ELSE 0 END, 9) AS precision,
+round(CASE WHEN count(*) FILTER (truth = class) > 0 THEN count(*) FILTER (truth = class AND pred = class) / count(*) FILTER (truth = class)::DOUBLE ELSE 0 END, 9) AS recall,
+round(CASE WHEN count(*) FILTER (truth = class) + count(*) FILTER (pred = class) > 0 THEN 2 * count(*) FILTER (truth = class AND pred = class) / (count(*) FILTER (truth = class) + count(*) FILTER (pred = class))::DOUBLE ELSE 0 END, 9) AS f1,
+count(*) FILTER (truth = class) AS support FROM p, k GROUP BY 1, 2""")
+def per_class(spark, sf_dir):
+    rows = truths(spark, sf_dir).select("truth", stats.banded(F.col("score"), -0.1, 0.1).alias("score"), F.col("other").alias("length"))
+    return evaluate.per_class(rows, ["score", "length"], "truth").withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1")})
+
+
+@query("annotator_agreement", f"""WITH {Q.JUDGED}, b AS (SELECT quality AS a, long AS b FROM judged WHERE doc_id % 5 <> 0), u AS (SELECT count(*) AS usable, avg((a = b)::INT::DOUBLE) AS po, avg(a) AS x, avg(b) AS y FROM b)
+SELECT (SELECT count(*) FROM judged) AS matched, usable, round(po, 9) AS agreement, round((po - (x * y + (1 - x) * (1 - y))) / (1 - (x * y + (1 - x) * (1 - y))), 9) AS kappa FROM u""")
+def annotator_agreement(spark, sf_dir):
+    rows = Q.judged(spark, sf_dir).select(F.col("doc_id").alias("id"), "quality", F.when(F.col("doc_id") % 5 != 0, F.col("long")).alias("second"))
+    found = evaluate.agreement(rows.select("id", F.col("quality").alias("label")), rows.select("id", F.col("second").alias("label")))
+    return found.withColumns({c: F.round(c, 9) for c in ("agreement", "kappa")})
+
+
+@query("census", f"""WITH {Q.CAL}, {Q.ASSIGNED}, {Q.DAILY} SELECT 'assigned' AS part, count(session)::DOUBLE AS value FROM assigned UNION ALL SELECT 'unassignable', count(*) FILTER (session IS NULL) FROM assigned
+UNION ALL SELECT 'sessions', count(*) FROM daily UNION ALL SELECT 'events', sum(n) FROM daily UNION ALL SELECT 'median', median(n) FROM daily""")
+def census(spark, sf_dir):
+    found = audit.census(Q.scored_orders(spark, sf_dir).withColumn("tickers", F.array(F.col("o_orderkey").cast("string"))), Q.calendar(spark))
+    first = found["assigned"].select(F.inline(F.array(*[F.struct(F.lit(c).alias("part"), F.col(c).cast("double").alias("value")) for c in ("assigned", "unassignable")])))
+    return first.unionByName(found["coverage"].select(F.inline(F.array(*[F.struct(F.lit(c).alias("part"), F.col(c).cast("double").alias("value")) for c in ("sessions", "events", "median")]))))
+
+
+@query("market_with_warm_up", """WITH cal AS (SELECT d::DATE AS session FROM generate_series(TIMESTAMP '1996-06-01', TIMESTAMP '1997-12-31', INTERVAL 1 DAY) t(d) WHERE isodow(d) < 6 AND d::DATE NOT IN (DATE '1997-01-01', DATE '1996-12-25')),
+own AS (SELECT * FROM cal WHERE session >= DATE '1997-01-02' OR session IN (SELECT session FROM cal WHERE session < DATE '1997-01-02' ORDER BY session DESC LIMIT 70)),
+bars AS (SELECT l_shipdate::DATE AS session, avg(l_extendedprice / l_quantity) AS close, sum(l_quantity) AS volume FROM lineitem GROUP BY 1), vol AS (SELECT o_orderdate::DATE AS session, avg(o_totalprice) AS close FROM orders GROUP BY 1)
+SELECT own.session::VARCHAR AS session, own.session >= DATE '1997-01-02' AS in_window, round(ln(b.close) - lag(ln(b.close)) OVER (ORDER BY own.session), 7) AS ret, round(b.volume, 3) AS volume, round(v.close, 8) AS index_close
+FROM own LEFT JOIN bars b USING (session) LEFT JOIN vol v USING (session)""")
+def market_with_warm_up(spark, sf_dir):
+    holidays = spark.createDataFrame([("1997-01-01",), ("1996-12-25",)], "day string")
+    days = market.with_warm_up(spark, "1997-01-02", "1997-12-31", holidays, 70)
+    bars = sessions.bars(Q.read(spark, sf_dir, "lineitem"), "l_shipdate", F.col("l_extendedprice") / F.col("l_quantity"), "l_quantity")
+    index = Q.read(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("session")).agg(F.avg("o_totalprice").alias("close"))
+    rows = market.load(bars, index, days)
+    return rows.select(F.col("session").cast("string").alias("session"), "in_window", F.round("ret", 7).alias("ret"), F.round("volume", 3).alias("volume"), F.round("index_close", 8).alias("index_close"))
+
+
 # Streams
 
 ORDERS = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
 
 
-@query("stream_daily", f"WITH {Q.CAL}, {Q.ASSIGNED} SELECT session::VARCHAR AS session, count(*) AS n, round(avg(score), 11) AS s FROM assigned WHERE session IS NOT NULL GROUP BY 1")
+@query("stream_daily", f"WITH {Q.CAL}, {Q.ASSIGNED} SELECT session::VARCHAR AS session, count(*) AS n, round(avg(score), 6) AS s FROM assigned WHERE session IS NOT NULL GROUP BY 1")
 def stream_daily(spark, sf_dir):
     """Orders as a stream of files, mapped to sessions and summed up; the last state of every session."""
     from tidepanel import streaming
@@ -293,7 +332,7 @@ def stream_daily(spark, sf_dir):
     folder = f"{work.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     orders = streaming.files(spark, sf_dir, ORDERS, "orders.parquet")
     streaming.totals(orders, Q.calendar(spark), "o_orderdate", F.col("o_totalprice") / 500000.0, f"{folder}/out", f"{folder}/checkpoint")
-    return streaming.latest(spark, f"{folder}/out").select(F.col("session").cast("string").alias("session"), "n", F.round("s", 11).alias("s"))
+    return streaming.latest(spark, f"{folder}/out").select(F.col("session").cast("string").alias("session"), "n", F.round("s", 6).alias("s"))
 
 
 # Simulations

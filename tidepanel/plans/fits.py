@@ -357,3 +357,32 @@ def precision_plan(spark, sf_dir):
     f = fits.precision(panel(spark, sf_dir))
     rows = spark.createDataFrame([tuple(f.values())], ", ".join(f"{k} {'long' if k == 'n' else 'double'}" for k in f))
     return rows.withColumns({c: F.round(c, 4 if c.endswith("bps") else 7 if c.startswith("kappa") else 8) for c in rows.columns if c != "n"})
+
+
+_RAW = f"""{PANEL}, whole AS (SELECT * FROM panel WHERE s_a IS NOT NULL AND ret IS NOT NULL AND range_var IS NOT NULL AND log_volume IS NOT NULL AND ret_lead1 IS NOT NULL),
+{A.chain('lr', 'whole', 'ret_lead1', {'s_a': 's_a', 'ret': 'ret', 'range_var': 'range_var', 'log_volume': 'log_volume'}, 's_a')}"""
+
+
+@query("predictive_raw", f"WITH {_RAW} SELECT (SELECT any_value(n) FROM lr)::INT AS n, round({A.coefficient('lr')}, 8) AS coef, round({A.error('lr', 5, 'rn')}, 8) AS se_row, round({A.coefficient('lr')} * (SELECT stddev_samp(s_a) FROM whole) * 10000, 4) AS bps")
+def predictive_raw(spark, sf_dir):
+    own = panel(spark, sf_dir)
+    found = fits.predictive(own)
+    sd = own.dropna(subset=["s_a", "ret", "range_var", "log_volume", "ret_lead1"]).agg(F.stddev_samp("s_a")).first()[0]
+    row = (found.n, found.coef("s_a"), found.error("s_a", spacing="row"), fits.effect_size(found.coef("s_a"), found.error("s_a", spacing="row"), sd)[0])
+    return spark.createDataFrame([row], "n int, coef double, se_row double, bps double").withColumns({"coef": F.round("coef", 8), "se_row": F.round("se_row", 8), "bps": F.round("bps", 4)})
+
+
+_SAME = f"""{PANEL}, lagged AS (SELECT *, lag(ret) OVER (ORDER BY session) AS ret_lag1, lag(range_var) OVER (ORDER BY session) AS range_var_lag1, lag(log_volume) OVER (ORDER BY session) AS log_volume_lag1 FROM panel),
+whole AS (SELECT * FROM lagged WHERE s_a IS NOT NULL AND ret IS NOT NULL AND ret_lag1 IS NOT NULL AND range_var_lag1 IS NOT NULL AND log_volume_lag1 IS NOT NULL),
+{A.chain('sd', 'whole', 'ret', {'s_a': 's_a', 'ret_lag1': 'ret_lag1', 'range_var_lag1': 'range_var_lag1', 'log_volume_lag1': 'log_volume_lag1'}, 's_a')}"""
+
+
+@query("same_day", f"WITH {_SAME} SELECT (SELECT any_value(n) FROM sd)::INT AS n, round({A.coefficient('sd')}, 8) AS coef, round({A.error('sd', 5, 'rn')}, 8) AS se_row")
+def same_day(spark, sf_dir):
+    found = fits.contemporaneous(panel(spark, sf_dir), admissible=True)
+    return spark.createDataFrame([(found.n, found.coef("s_a"), found.error("s_a", spacing="row"))], "n int, coef double, se_row double").withColumns({"coef": F.round("coef", 8), "se_row": F.round("se_row", 8)})
+
+
+@query("analysis_sample", f"WITH {PANEL} SELECT count(*) AS sessions, count(*) FILTER (n < 1) AS without_events, count(*) FILTER (n > 0) AS kept FROM panel")
+def analysis_sample(spark, sf_dir):
+    return fits.analysis_sample(panel(spark, sf_dir))

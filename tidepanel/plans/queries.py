@@ -83,8 +83,8 @@ panel AS (SELECT daily.*, m.* EXCLUDE (session),
 KEPT = f"""{PANEL}, kept AS (SELECT *, (s - avg(s) OVER ()) / stddev_samp(s) OVER () AS z_s, (d - avg(d) OVER ()) / stddev_samp(d) OVER () AS z_d,
   (ret_lag1 - avg(ret_lag1) OVER ()) / stddev_samp(ret_lag1) OVER () AS z_ret_lag1, (volume_gap - avg(volume_gap) OVER ()) / stddev_samp(volume_gap) OVER () AS z_volume_gap
   FROM panel WHERE n > 0 AND d IS NOT NULL AND ret_lag1 IS NOT NULL AND volume_gap IS NOT NULL AND ret_lead1 IS NOT NULL)"""
-#: Decimals that both engines' sums share; means of prices need more, lest a tie is rounded apart.
-ROUND, PLACES = 7, {"s": 11, "d": 11}
+#: Decimals that both engines' sums share; means of prices end after a few more, so fewer are kept, lest a tie is rounded apart.
+ROUND, PLACES = 7, {"s": 6, "d": 11}
 
 
 def rounded(df: DataFrame, *cols: str) -> DataFrame:
@@ -268,9 +268,9 @@ def map_intraday(spark, sf_dir):
     return sessions.map_intraday(read(spark, sf_dir, "events"), days, "ts").select("event_id", named_day("session"))
 
 
-@query("daily_mean", f"WITH {CAL}, {ASSIGNED}, {DAILY} SELECT session::VARCHAR AS session, n, round(s, 11) AS s, round(d, 11) AS d FROM daily")
+@query("daily_mean", f"WITH {CAL}, {ASSIGNED}, {DAILY} SELECT session::VARCHAR AS session, n, round(s, 6) AS s, round(d, 11) AS d FROM daily")
 def daily_mean(spark, sf_dir):
-    return day_frame(spark, sf_dir).select(named_day("session"), "n", F.round("s", 11).alias("s"), F.round("d", 11).alias("d"))
+    return day_frame(spark, sf_dir).select(named_day("session"), "n", F.round("s", 6).alias("s"), F.round("d", 11).alias("d"))
 
 
 @query("daily_median", f"WITH {CAL}, {ASSIGNED} SELECT cal.session::VARCHAR AS session, count(a.o_orderkey) AS n, median(score) AS s FROM cal LEFT JOIN assigned a ON a.session = cal.session GROUP BY 1")

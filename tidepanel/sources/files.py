@@ -173,6 +173,18 @@ def check_provenance(recorded: dict | None, now: dict) -> list[str]:
     return out
 
 
+def footer(path: str | Path) -> tuple[list[tuple[str, str]], int]:
+    """Columns and rows of Parquet by its footers alone."""
+    import pyarrow.parquet as pq
+
+    path = Path(path)
+    own = sorted(p for p in path.rglob("*.parquet")) if path.is_dir() else [path]
+    if not own:
+        raise Incomplete(f"{path} has no files")
+    schema = pq.read_schema(own[0])
+    return [(f.name, str(f.type)) for f in schema], sum(pq.read_metadata(p).num_rows for p in own)
+
+
 # Acquisition
 
 
