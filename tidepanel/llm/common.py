@@ -87,7 +87,7 @@ def saved(df: DataFrame, what: str = "saved") -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, what)
     # What was shuffled for a written table isn't needed once it is written; batches of long texts stay small.
-    own = {CLEANUP: "true", BATCH_BYTES: str(8 << 20)}
+    own = {CLEANUP: "true", BATCH_BYTES: str(2 << 20)}
     was = {k: spark.conf.get(k, None) for k in own}
     for k, v in own.items():
         spark.conf.set(k, v)

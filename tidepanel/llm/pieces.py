@@ -30,7 +30,7 @@ from tidepanel.llm import common
 
 MARK = "▁"
 #: Segments a worker remembers in each of two generations; those met again move to the younger one.
-REMEMBERED = 150_000
+REMEMBERED = 110_000
 BYTE = re.compile(r"<0x([0-9A-F]{2})>$")
 #: Ways to cut a text, finest first; a vocabulary takes the first that cuts none of its pieces.
 SEGMENTS = [
