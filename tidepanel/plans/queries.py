@@ -287,12 +287,12 @@ def daily_panel(spark, sf_dir):
 
 
 _X = ["1.0::DOUBLE", *XS]
-NORMAL = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, round(sum(({a}) * ({b})), 5) AS value FROM kept" for i, a in enumerate(_X) for j, b in [*enumerate(_X), (-1, "ret_lead1")] if j == -1 or j >= i)
+NORMAL = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, round(sum(({a}) * ({b})), 5) + 0.0 AS value FROM kept" for i, a in enumerate(_X) for j, b in [*enumerate(_X), (-1, "ret_lead1")] if j == -1 or j >= i)
 
 
 @query("normal_equations", f"WITH {KEPT} {NORMAL}")
 def normal_equations(spark, sf_dir):
-    return stats.normal_equations(kept_rows(spark, sf_dir), XS, "ret_lead1").select("i", "j", F.round("value", 5).alias("value"))
+    return stats.normal_equations(kept_rows(spark, sf_dir), XS, "ret_lead1").select("i", "j", (F.round("value", 5) + 0.0).alias("value"))
 
 
 @query("meat_of_products", f"""WITH {KEPT}, g AS (SELECT pos, ret_lead1 AS g0, z_s * ret_lead1 AS g1, z_d * ret_lead1 AS g2 FROM kept), c AS (SELECT i::INT AS i, j::INT AS j FROM range(3) a(i), range(3) b(j) WHERE i <= j),
