@@ -151,14 +151,18 @@ def lineage(rows: DataFrame, percent: int = PERCENT, days: int = WINDOW_DAYS) ->
     Ids have to be in time order (see ``numbered``). eliminated_by is the immediate step; cluster the kept row at the chain's end, which is at most
     two steps away, for an exact anchor can itself be a near duplicate of a kept row.
     """
-    first = work.saved(exact(rows.select("id", "ts", "text_norm"), days).select("id", "ts", "text_norm", "anchor", "kept"), "exact")
-    near = work.saved(resolved(near_pairs(first.where("kept").select("id", "ts", "text_norm"), percent, days)), "near")
-    own = near.select(F.col("id").alias("anchor"), F.col("eliminated_by").alias("root"))
-    step = F.when(~F.col("kept"), "exact").when(F.col("root").isNotNull(), "near")
-    return first.join(own, "anchor", "left").select(
-        "id", step.isNull().alias("kept"), step.alias("step"),
-        F.when(step == "exact", F.col("anchor")).when(step == "near", F.col("root")).alias("eliminated_by"), F.coalesce("root", "anchor").alias("cluster"),
-    )
+    with work.Scratch(rows.sparkSession) as scratch:
+        first = work.saved(exact(rows.select("id", "ts", "text_norm"), days).select("id", "ts", "text_norm", "anchor", "kept"), "exact")
+        near = work.saved(resolved(near_pairs(first.where("kept").select("id", "ts", "text_norm"), percent, days)), "near")
+        own = near.select(F.col("id").alias("anchor"), F.col("eliminated_by").alias("root"))
+        step = F.when(~F.col("kept"), "exact").when(F.col("root").isNotNull(), "near")
+        found = first.join(own, "anchor", "left").select(
+            "id", step.isNull().alias("kept"), step.alias("step"),
+            F.when(step == "exact", F.col("anchor")).when(step == "near", F.col("root")).alias("eliminated_by"), F.coalesce("root", "anchor").alias("cluster"),
+        )
+        out = work.saved(found, "lineage")
+        scratch.keep(out)
+        return out
 
 
 def numbered(rows: DataFrame, ts: str = "ts", tie: str = "id") -> DataFrame:
@@ -200,22 +204,25 @@ def article_groups(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     Tokens are ordered by frequency, and sets that overlap enough share one of their first size - needed + 1 tokens, so only those are joined.
     """
-    sets = work.saved(rows.select("id", T.token_set(F.col("text_norm")).alias("tokens"), F.unhex(F.md5(F.col("text_norm").cast("binary"))).alias("hash")), "token-sets")
-    firsts = work.saved(sets.groupBy("hash").agg(F.min("id").alias("rep")), "representatives")
-    reps = sets.join(firsts, F.col("id") == F.col("rep"), "left_semi").select("id", "tokens")
-    each = work.saved(reps.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("t")), "tokens")
-    often = each.groupBy("t").agg(F.count(F.lit(1)).alias("often"))
-    # Overlap is over the larger set, so a set of n shares at least percent of n tokens with any partner.
-    spare = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    rank = F.row_number().over(W.partitionBy("id").orderBy("often", "t"))
-    prefix = work.saved(each.join(often, "t").withColumn("rank", rank).where(F.col("rank") <= spare).select("id", "n", "t"), "prefixes")
-    x, y = prefix.select(F.col("id").alias("a"), F.col("n").alias("an"), "t"), prefix.select(F.col("id").alias("b"), F.col("n").alias("bn"), "t")
-    close = (F.col("a") < F.col("b")) & (100 * F.least("an", "bn") >= percent * F.greatest("an", "bn"))
-    pairs = x.join(y, "t").where(close).select("a", "b").distinct()
-    met = pairs.join(reps.select(F.col("id").alias("a"), F.col("tokens").alias("at")), "a").join(reps.select(F.col("id").alias("b"), F.col("tokens").alias("bt")), "b")
-    links = met.where(100 * F.size(F.array_intersect("at", "bt")) >= percent * F.greatest(F.size("at"), F.size("bt"))).select("a", "b")
-    named = sets.join(firsts, "hash").select("id", "rep")
-    comps = work.components(links).withColumnRenamed("node", "rep")
-    grouped = work.saved(named.join(comps, "rep", "left").select("id", F.coalesce("comp", "rep").alias("first")), "groups")
-    order = numbered(grouped.where("id = first").select("first"), "first", "first").withColumnRenamed("source_row_id", "group_id")
-    return grouped.join(order, "first").select("id", "group_id")
+    with work.Scratch(rows.sparkSession) as scratch:
+        sets = work.saved(rows.select("id", T.token_set(F.col("text_norm")).alias("tokens"), F.unhex(F.md5(F.col("text_norm").cast("binary"))).alias("hash")), "token-sets")
+        firsts = work.saved(sets.groupBy("hash").agg(F.min("id").alias("rep")), "representatives")
+        reps = sets.join(firsts, F.col("id") == F.col("rep"), "left_semi").select("id", "tokens")
+        each = work.saved(reps.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("t")), "tokens")
+        often = each.groupBy("t").agg(F.count(F.lit(1)).alias("often"))
+        # Overlap is over the larger set, so a set of n shares at least percent of n tokens with any partner.
+        spare = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+        rank = F.row_number().over(W.partitionBy("id").orderBy("often", "t"))
+        prefix = work.saved(each.join(often, "t").withColumn("rank", rank).where(F.col("rank") <= spare).select("id", "n", "t"), "prefixes")
+        x, y = prefix.select(F.col("id").alias("a"), F.col("n").alias("an"), "t"), prefix.select(F.col("id").alias("b"), F.col("n").alias("bn"), "t")
+        close = (F.col("a") < F.col("b")) & (100 * F.least("an", "bn") >= percent * F.greatest("an", "bn"))
+        pairs = x.join(y, "t").where(close).select("a", "b").distinct()
+        met = pairs.join(reps.select(F.col("id").alias("a"), F.col("tokens").alias("at")), "a").join(reps.select(F.col("id").alias("b"), F.col("tokens").alias("bt")), "b")
+        links = met.where(100 * F.size(F.array_intersect("at", "bt")) >= percent * F.greatest(F.size("at"), F.size("bt"))).select("a", "b")
+        named = sets.join(firsts, "hash").select("id", "rep")
+        comps = work.components(links).withColumnRenamed("node", "rep")
+        grouped = work.saved(named.join(comps, "rep", "left").select("id", F.coalesce("comp", "rep").alias("first")), "groups")
+        order = numbered(grouped.where("id = first").select("first"), "first", "first").withColumnRenamed("source_row_id", "group_id")
+        out = work.saved(grouped.join(order, "first").select("id", "group_id"), "article-groups")
+        scratch.keep(out)
+        return out
