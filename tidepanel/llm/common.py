@@ -2,107 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidepanel.operators.work import Scratch, fresh_path, saved, shared_dir  # noqa: F401
+
 #: Bytes of rows that a broadcast may hold; larger sides take a shuffled join.
 BROADCAST_BYTES = 64 << 20
 #: Bytes of text that a sample may bring to the driver, and of any one text in it.
 SAMPLE_BYTES, SAMPLE_TEXT = 64 << 20, 4 << 20
 #: Rows of a key from which on a join deals it over salts, and keys that can have so many at all.
 HOT_ROWS, HOT_KEYS = 20_000, 100_000
-BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A session on one machine that names none gets one of its own; a cluster's is refused."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    now = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if now.isDefined():
-        return now.get().rstrip("/")
-    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
-        raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
-    own = tempfile.mkdtemp(prefix="tidepanel-")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
-
-
-def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-class Scratch:
-    """Tables written inside a ``with`` are deleted at its end, but for those that what is returned still reads (``keep``).
-
-    Scopes nest: what an inner one keeps belongs to the outer one. Tables kept by the outermost, and those written outside of
-    any, stay in the shared folder.
-    """
-
-    open: list[Scratch] = []
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
-
-    def __enter__(self) -> Scratch:
-        Scratch.open.append(self)
-        return self
-
-    def keep(self, *tables: DataFrame) -> None:
-        for df in tables:
-            path = getattr(df, "_written", None)
-            if path in self.paths:
-                self.paths.remove(path)
-                if len(Scratch.open) > 1:
-                    Scratch.open[-2].paths.append(path)
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete one table now."""
-        if (path := getattr(df, "_written", None)) in self.paths:
-            self.paths.remove(path)
-            self._delete(path)
-
-    def _delete(self, path: str) -> None:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
-
-    def __exit__(self, *error) -> None:
-        Scratch.open.pop()
-        for path in self.paths:
-            self._delete(path)
-
-
-def saved(df: DataFrame, what: str = "saved") -> DataFrame:
-    """Cut the lineage by a written table in the shared folder; lost executors can't lose it."""
-    spark = df.sparkSession
-    path = fresh_path(spark, what)
-    # What was shuffled for a written table isn't needed once it is written; batches of long texts stay small.
-    own = {CLEANUP: "true", BATCH_BYTES: str(2 << 20)}
-    was = {k: spark.conf.get(k, None) for k in own}
-    for k, v in own.items():
-        spark.conf.set(k, v)
-    try:
-        df.write.parquet(path)
-    finally:
-        for k, v in was.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written = path
-    if Scratch.open:
-        Scratch.open[-1].paths.append(path)
-    return out
-
-
 def free_name(name: str, taken: list[str]) -> str:
     """name, with more underscores as long as a column is called so."""
     while name.lower() in {c.lower() for c in taken}:
