@@ -37,6 +37,7 @@ SEGMENTS = [
     re.compile(rf"{MARK}*[^\W\d_²]+|{MARK}*(?:[^{MARK}\w]|[_²])+|{MARK}*\d|{MARK}+"),
     re.compile(f"{MARK}*[^{MARK}]+|{MARK}+"),
 ]
+LETTER = re.compile(r"[^\W\d_²]")
 #: A rank after all others; symbols from which on a segment gets an agenda of its own; segments merged at once.
 LATE, LONG, TOGETHER = 1 << 40, 64, 10_000
 #: Texts whose new segments are learnt together; every so many texts of a batch one is held whole against the library.
@@ -70,7 +71,8 @@ class Pieces:
         self.known: dict[str, str] = {}
         self.older: dict[str, str] = {}
         self.respelled: set[str] = set()  # segments that don't decode to themselves (unknown symbols)
-        self.prefixes = [(p, self.segments(p), lib.encode(p)) for p in ("a", "a.", "a1")]
+        #: What a segment without a mark stands behind in the library's check: a letter, or for letters a letter and a dot.
+        self.prefixes = {letter: (p, lib.encode(p)) for letter, p in ((False, "a"), (True, "a."))}
 
     def merge(self, segment: str) -> list[int]:
         """Ids of one segment by an agenda of its own."""
@@ -197,12 +199,10 @@ class Pieces:
         self.known.update((s, self.older[s]) for s in again)
         todo = list(new - again)
         # The library puts a mark before every text: after one, a segment stands as it does here. Others stand behind a prefix.
-        before = [None if s[0] == MARK else next((p for p in self.prefixes if self.segments(p[0] + s) == [*p[1], s]), ("", [], [])) for s in todo]
+        before = [None if s[0] == MARK else self.prefixes[LETTER.match(s) is not None] for s in todo]
         theirs = self.library.encode([s[1:].replace(MARK, " ") if p is None else p[0] + s for s, p in zip(todo, before, strict=True)], num_threads=1)
         for s, ids, other, p in zip(todo, self.merge_all(todo), theirs, before, strict=True):
-            if p is None and ids != other and s != MARK:
-                raise ValueError(f"the agenda and the sentencepiece library differ on {s!r}: {ids} and {other}")
-            if p is not None and (other != p[2] + ids if p[0] else self.spelled(other).removeprefix(MARK) != self.spelled(ids)):
+            if ids != other and s != MARK if p is None else p[1] + ids != other:
                 raise ValueError(f"the agenda and the sentencepiece library differ on {s!r}: {ids} and {other}")
             if "".join([self.pieces[i] for i in ids]) != s and self.spelled(ids) != s:
                 self.respelled.add(s)
