@@ -56,7 +56,7 @@ HOT, BLOCK, COLUMNS = 128, 256, 4096
 #: Rows of a token, or candidates of a document, that one task of a join takes at most.
 HOT_LIST = 1000
 #: Texts that a worker holds the sets of at once.
-TOGETHER = 200
+TOGETHER = 50
 
 
 def _trim(run):
@@ -193,15 +193,19 @@ def _block_links(percent: int):
         node, comp = (np.array(table.column(c)) for c in ("node", "comp"))
         own = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set")]
         size = np.array(list(map(len, own)), np.int64)
-        tokens, at, times = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
-        row = np.repeat(np.arange(len(own)), size)
-        common_ = times > 1  # a token of one set alone is in no intersection
-        place = np.cumsum(common_) - 1
-        row, col = row[common_[at]], place[at[common_[at]]]
-        order = np.argsort(col, kind="stable")
-        row, col = row[order], col[order]
+        tokens = np.concatenate(own)
+        order = np.argsort(tokens, kind="stable").astype(np.int32)
+        tokens = tokens[order]
+        new = np.ones(len(tokens), bool)
+        new[1:] = tokens[1:] != tokens[:-1]
+        alone = new.copy()
+        alone[:-1] &= new[1:]  # a token of one set alone is in no intersection
+        row = np.repeat(np.arange(len(own), dtype=np.int32), size)[order][~alone]
+        col = (np.cumsum(new[~alone], dtype=np.int32) - 1).astype(np.int32)
+        width = int(col[-1]) + 1 if len(col) else 0
+        del tokens, order, new, alone
         both = np.zeros((len(own), len(own)), np.float32)
-        for low in range(0, int(common_.sum()), COLUMNS):
+        for low in range(0, width, COLUMNS):
             a, b = np.searchsorted(col, [low, low + COLUMNS])
             part = np.zeros((len(own), COLUMNS), np.float32)
             part[row[a:b], col[a:b] - low] = 1

@@ -8,7 +8,7 @@ import re
 import numpy as np
 
 #: Bytes of text that are hashed together.
-CHUNK = 1 << 18
+CHUNK = 1 << 16
 #: Bytes from which on a word is hashed by blake2b: sums modulo 2^64 of long words can be made to meet.
 LONG_WORD = 256
 _RNG = np.random.default_rng(20240607)
