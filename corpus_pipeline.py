@@ -37,8 +37,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Counts and digests of the pieces that every document of the mix has."""
-    return pieces.digests(docs, pieces.default_model())
+    """Counts and digests of the pieces that every document of the mix has. Executors hold what earlier stages left, so workers remember less."""
+    return pieces.digests(docs, pieces.default_model(), remembered=40_000)
 
 
 STAGES = [

@@ -68,6 +68,7 @@ class Pieces:
                 self.char[ord(p)] = i
         splits = sorted((self.id[a] << 32 | self.id[b], self.rank[p], i) for p, i in self.id.items() for k in range(1, len(p)) if (a := p[:k]) in self.id and (b := p[k:]) in self.id)
         self.pair, self.pair_rank, self.pair_id = (np.array(x, np.int64) for x in zip(*splits, strict=True))
+        self.remembered = REMEMBERED
         self.known: dict[str, str] = {}
         self.older: dict[str, str] = {}
         self.respelled: set[str] = set()  # segments that don't decode to themselves (unknown symbols)
@@ -192,7 +193,7 @@ class Pieces:
 
     def learn(self, segments: set[str]) -> None:
         """Encode the segments not yet remembered, and hold them against the library."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.known, self.older = {}, self.known
         new = segments.difference(self.known)
         again = {s for s in new if s in self.older}
@@ -248,9 +249,10 @@ def loaded(path: str) -> Pieces:
     return _LOADED[path]
 
 
-def _digests(path: str):
+def _digests(path: str, remembered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(path)
+        model.remembered = remembered
         for batch in batches:
             counts, ids_sha, decoded_sha = [], [], []
             for ids, decoded in model.encode_batch([t or "" for t in batch.column("text").to_pylist()]):
@@ -286,10 +288,10 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     return read.mapInArrow(common.sparing(_ids(path)), f"key {dict(read.dtypes)['key']}, ids array<int>, decoded string").withColumnRenamed("key", key)
 
 
-def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_tokens, ids_sha256 and decoded_sha256, without the ids leaving the worker."""
+def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", remembered: int = REMEMBERED) -> DataFrame:
+    """key, n_tokens, ids_sha256 and decoded_sha256, without the ids leaving the worker. remembered: segments a worker keeps, memory for time."""
     read = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return read.mapInArrow(common.sparing(_digests(path)), f"key {dict(read.dtypes)['key']}, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)
+    return read.mapInArrow(common.sparing(_digests(path, remembered)), f"key {dict(read.dtypes)['key']}, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)
 
 
 def default_model() -> str:
